@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from cairn.llm import bpe, ngram_jaccard, url_filter
+from cairn.llm import bpe, ngram_jaccard, token_files, url_filter, warc
 from cairn.llm.common import table
 
 
@@ -12,16 +12,24 @@ def op1_ngram_jaccard(spark, sf_dir):
     return ngram_jaccard.ngram_jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op4_warc(spark, sf_dir):
+    return warc.warc_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op7_url_filter(spark, sf_dir):
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
+def op8_token_files(spark, sf_dir):
+    return token_files.token_file_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+
+
 def op10_byte_bpe(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op7_url_filter, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op4_warc, op7_url_filter, op8_token_files, op10_byte_bpe)}
 
 
 def _values(rows) -> str:
@@ -71,4 +79,16 @@ select page_id, host, path, hit.rule as rule,
 from n
 """
 
-ORACLES = {"op1_ngram_jaccard": _OP1, "op7_url_filter": _OP7}
+_OP4 = """
+with p as (select page_id, encode(coalesce(html, '')) as body from pages),
+d as (select page_id, octet_length(body) as n, upper(sha1(body)) as hex from p),
+f as (select *, min(page_id) over (partition by hex, n) as lead from d),
+b as (
+  select *, array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + (((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::bigint) >> (15 - 5 * (i % 4))) & 31)::int, 1)), '') as digest from f)
+select page_id, n::bigint as payload_bytes, digest as payload_digest, case when page_id = lead then 'response' else 'revisit' end as record_type,
+  case when page_id <> lead then lead end as refers_to
+from b
+"""
+
+ORACLES = {"op4_warc": _OP4, "op1_ngram_jaccard": _OP1, "op7_url_filter": _OP7}
