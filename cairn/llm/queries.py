@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from cairn.llm import bpe, ngram_jaccard, token_files, url_filter, warc
+from cairn.llm import bpe, language, ngram_jaccard, quality, token_files, url_filter, warc
 from cairn.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_ngram_jaccard(spark, sf_dir):
     return ngram_jaccard.ngram_jaccard_components(table(spark, sf_dir, "documents"), width=3, percent=90)
 
 
+def op2_quality_rules(spark, sf_dir):
+    return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_warc(spark, sf_dir):
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
@@ -24,12 +28,16 @@ def op8_token_files(spark, sf_dir):
     return token_files.token_file_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=2)
 
 
+def op9_language_id(spark, sf_dir):
+    return language.language_id(table(spark, sf_dir, "documents")).drop("languages")
+
+
 def op10_byte_bpe(spark, sf_dir):
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op4_warc, op7_url_filter, op8_token_files, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op4_warc, op7_url_filter, op8_token_files, op9_language_id, op10_byte_bpe)}
 
 
 def _values(rows) -> str:
