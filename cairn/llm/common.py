@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a two-column table of longs may be broadcast (16 MB raw); past it the join shuffles.
@@ -97,3 +97,26 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     label = state.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
     roots = label.select(F.col("component").alias("id"), "component").distinct()
     return label.unionByName(roots)
+
+
+def skew_left_join(left: DataFrame, right: DataFrame, keys: list[str], hot: Column, spread: list[str]) -> DataFrame:
+    """left LEFT JOIN right on keys (unique in right), where a few keys may hold much of left.
+
+    Right rows for which hot holds are broadcast when their count proves them small; left rows they match are spread over all
+    partitions by a hash of the spread columns in the shuffled join with the rest. right must be a written table: it is read three times.
+    """
+    values = [c for c in right.columns if c not in keys]
+    top = right.where(hot)
+    if not 0 < (n := top.count()) <= BROADCAST_ROWS:
+        return left.join(right, keys, "left")
+    first = left.join(F.broadcast(top.select(*keys, F.struct(*values).alias("_hot"))), keys, "left")
+    found = F.col("_hot").isNotNull()
+    first = first.withColumn("_k0", F.when(found, F.xxhash64(*spread)).otherwise(F.xxhash64(*keys)))
+    for i, k in enumerate(keys):
+        first = first.withColumn(f"_key{i}", F.when(~found, F.col(k)))
+    rest = right.where(~F.coalesce(hot, F.lit(False))).select(
+        F.xxhash64(*keys).alias("_k0"), *[F.col(k).alias(f"_key{i}") for i, k in enumerate(keys)], F.struct(*values).alias("_cold")
+    )
+    both = first.join(rest, ["_k0", *[f"_key{i}" for i in range(len(keys))]], "left")
+    pick = F.coalesce("_hot", "_cold")
+    return both.select(*left.columns, *[pick[v].alias(v) for v in values])

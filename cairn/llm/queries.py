@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from cairn.llm import bpe, language, ngram_jaccard, quality, token_files, url_filter, warc
+from cairn.llm import bpe, language, line_dedup, ngram_jaccard, quality, token_files, url_filter, warc
 from cairn.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op2_quality_rules(spark, sf_dir):
     return quality.quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_line_dedup(spark, sf_dir):
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_warc(spark, sf_dir):
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
@@ -37,7 +41,7 @@ def op10_byte_bpe(spark, sf_dir):
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op4_warc, op7_url_filter, op8_token_files, op9_language_id, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_line_dedup, op4_warc, op7_url_filter, op8_token_files, op9_language_id, op10_byte_bpe)}
 
 
 def _values(rows) -> str:
