@@ -154,8 +154,8 @@ def held_out(doc_id) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def language_id(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, languages of every row of docs (doc_id, text, lang, ...).
+def language_id(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, languages of every row of docs (doc_id, text, lang, ...), and the columns named in keep.
 
     Learns from rows that are not held out; predicts from the text alone. lang_pred is the language with
     the largest share (ties: the first by name), score that share, languages the selected set with shares.
@@ -170,10 +170,11 @@ def language_id(docs: DataFrame) -> DataFrame:
             got = model.value.infer(b.column("text").to_pylist())
             sets = pa.array([x[2] for x in got], pa.map_(pa.string(), pa.float64()))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("held_out"), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), sets],
-                names=["doc_id", "held_out", "lang_pred", "score", "languages"],
+                [b.column("doc_id"), b.column("held_out"), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), sets, *[b.column(f"_{c}") for c in keep]],
+                names=["doc_id", "held_out", "lang_pred", "score", "languages", *keep],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    src = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return src.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, languages map<string,double>")
+    src = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", *[F.col(c).alias(f"_{c}") for c in keep])
+    extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return src.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, languages map<string,double>{extra}")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from cairn.llm import bpe, language, line_dedup, ngram_jaccard, quality, token_files, url_filter, warc
+from cairn.llm import bpe, chat, decontaminate, language, line_dedup, ngram_jaccard, quality, token_files, url_filter, warc
 from cairn.llm.common import table
 
 
@@ -24,6 +24,14 @@ def op4_warc(spark, sf_dir):
     return warc.warc_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op5_chat_format(spark, sf_dir):
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
+def op6_decontaminate(spark, sf_dir):
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).select("doc_id", "contaminated", "item_ids")
+
+
 def op7_url_filter(spark, sf_dir):
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
@@ -41,7 +49,7 @@ def op10_byte_bpe(spark, sf_dir):
     return bpe.bpe_digest(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_line_dedup, op4_warc, op7_url_filter, op8_token_files, op9_language_id, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_quality_rules, op3_line_dedup, op4_warc, op5_chat_format, op6_decontaminate, op7_url_filter, op8_token_files, op9_language_id, op10_byte_bpe)}
 
 
 def _values(rows) -> str:
