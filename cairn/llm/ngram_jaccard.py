@@ -1,12 +1,11 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The global n-gram order is the order of 64-bit n-gram hashes, which is uniform, so equal cuts of the
-hash range are fragments of equal weight. For sets of up to U n-grams two linked sets differ in at most
-D = floor(2U(1-t)/(1+t)) n-grams, so of D+1+SLACK fragments at least one non-empty fragment is the same in both (a set
-with more than SLACK empty fragments also publishes the empty ones). One shuffle on fragment digests
-finds the sets that share a fragment; the classes they connect are then counted exactly: each block of
-a class cuts the order into vertical fragments again, counts the partial overlaps of all its pairs in
-each fragment, sums them per pair, and only a spanning forest of the links leaves the task.
+The n-gram hashes are cut into V vertical fragments of equal width. Each fragment, a task of its own, counts in how
+many sets its n-grams occur; n-grams of one set can overlap with nothing and go no further. The rest order
+the n-grams globally, rarest first, and two linked sets of n n-grams share one of the first n - ceil(t n) + 1 of each;
+a set publishes those that others hold too. Sets that share a published n-gram form classes, and these are counted
+exactly: each block of a class cuts the order into fragments again, counts the partial overlaps of
+all its pairs in each fragment, sums them per pair, and only a spanning forest of the links leaves the task.
 """
 
 from __future__ import annotations
@@ -18,17 +17,20 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from cairn.llm.common import Scratch, connected_components, small
+from cairn.llm.common import Scratch, connected_components, skew_left_join, small
 
-#: Empty fragments a set may have before it publishes empty ones too.
-SLACK = 2
-#: Ratio of neighbouring size classes.
-RATIO = 1.5
+#: N-grams that a vertical fragment of the counting step holds on average.
+COUNTED = 1 << 21
+#: Leading bytes of a hash that are counted; a chance collision only makes an n-gram look more common.
+PREFIX = 6
 #: Sets and n-grams in a block of a class; a larger class is cut into a grid of block pairs.
 BLOCK_SETS, BLOCK_GRAMS = 512, 1 << 20
 #: N-grams of a vertical fragment that are counted at a time.
 FRAGMENT = 4096
+#: Copies from which a class is joined as a hot key.
+HOT_COPIES = 1000
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,61 +88,73 @@ def shingles(data: bytes | None, width: int) -> np.ndarray:
     return np.unique(_mix(h))
 
 
-def size_classes(limit: int) -> list[int]:
-    """Lower bounds of the size classes up to one that starts beyond limit."""
-    low = [1]
-    while low[-1] <= limit:
-        low.append(max(low[-1] + 1, math.ceil(low[-1] * RATIO)))
-    return low
-
-
-def fragments_of(upper: int, threshold: float) -> int:
-    """How many fragments the sets of a size class are cut into; 0 where only equal sets can link."""
-    most = math.floor(2 * upper * (1 - threshold) / (1 + threshold) + 1e-9)
-    return most + 1 + SLACK if most else 0
-
-
-def fragment_keys(h: np.ndarray, threshold: float, lows: list[int]) -> np.ndarray:
-    """Digests of the fragments of a sorted set, for each size class that holds a possible partner not smaller."""
-    if not len(h):
-        return h
-    first = int(np.searchsorted(lows, len(h), "right")) - 1
-    last = int(np.searchsorted(lows, math.floor(len(h) / threshold + 1e-9), "right")) - 1
-    run = np.concatenate([[np.uint64(0)], np.cumsum(_mix(h ^ np.uint64(0x9E3779B97F4A7C15)))])
-    out = []
-    for k in range(first, last + 1):
-        n = fragments_of(lows[k + 1] - 1, threshold)
-        if not n:
-            continue
-        part = ((h >> np.uint64(32)) * np.uint64(n)) >> np.uint64(32)
-        cut = np.searchsorted(part, np.arange(n + 1, dtype=np.uint64))
-        full = np.diff(cut) > 0
-        key = _mix((run[cut[1:]] - run[cut[:-1]]) + _mix(np.arange(n, dtype=np.uint64) + np.uint64(k << 32)))
-        out.append(key if n - full.sum() > SLACK else key[full])
-    return np.concatenate(out) if out else h[:0]
-
-
-def _features(width: int, threshold: float):
+def fingerprint(h: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two signed longs."""
+    return tuple(int(_mix(h * m).sum().view(np.int64)) for m in (_MULT[5], _MULT[7])) if len(h) else (0, 0)
+
+
+def _features(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lows = size_classes(1 << 12)
         for b in batches:
-            n, one, two, keys = [], [], [], []
-            for data in b.column("data"):
-                h = shingles(data.as_py(), width)
-                if lows[-1] <= len(h) / threshold:
-                    lows = size_classes(int(len(h) / threshold) + 1)
-                n.append(len(h))
-                one.append(int(_mix(h).sum().view(np.int64)) if len(h) else 0)
-                two.append(int(_mix(h * _MULT[7]).sum().view(np.int64)) if len(h) else 0)
-                keys.append(fragment_keys(h, threshold, lows).view(np.int64))
+            sets = [shingles(x.as_py(), width) for x in b.column("data")]
+            one, two = zip(*map(fingerprint, sets), strict=True) if sets else ((), ())
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "fp1", "fp2", "keys"],
+                [b.column("doc_id"), *(pa.array(x, pa.int64()) for x in ([len(h) for h in sets], one, two))], names=["doc_id", "n_shingles", "fp1", "fp2"]
             )
 
     return run
 
 
+def _cut(width: int, fragments: int):
+    """For each batch and vertical fragment one row: the sets, and which of them holds which n-gram."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for low in range(0, whole.num_rows, 4096):
+                sets = [shingles(x.as_py(), width) for x in whole.column("data").slice(low, 4096)]
+                names = np.array([fingerprint(h)[0] for h in sets], np.int64)
+                h = np.concatenate([*sets, np.zeros(0, np.uint64)])
+                owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(x) for x in sets])
+                order = np.argsort(h)
+                h, owner = h[order], owner[order]
+                edges = np.searchsorted(((h >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32), np.arange(fragments + 1, dtype=np.uint64))
+                head = np.ascontiguousarray((h >> np.uint64(64 - 8 * PREFIX)).view(np.uint8).reshape(-1, 8)[:, :PREFIX])
+                rows = [(v, a, z) for v, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < z]
+                if rows:
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([v for v, _, _ in rows], pa.int32()),
+                            pa.array([names[np.unique(owner[a:z])].tobytes() for _, a, z in rows], pa.binary()),
+                            pa.array([np.unique(owner[a:z], return_inverse=True)[1].astype(np.uint16).tobytes() for _, a, z in rows], pa.binary()),
+                            pa.array([head[a:z].tobytes() for _, a, z in rows], pa.binary()),
+                        ],
+                        names=["v", "sets", "owner", "grams"],
+                    )
+
+    return run
+
+
+def _count(t: pa.Table) -> pa.Table:
+    """The n-grams of a vertical fragment that several sets hold: set, n-gram and in how many sets it is."""
+    grams, names = [], []
+    for sets, owner, head in zip(*(t.column(c).to_pylist() for c in ("sets", "owner", "grams")), strict=True):
+        wide = np.zeros((len(head) // PREFIX, 8), np.uint8)
+        wide[:, :PREFIX] = np.frombuffer(head, np.uint8).reshape(-1, PREFIX)
+        grams.append(wide.view(np.int64).ravel())
+        names.append(np.frombuffer(sets, np.int64)[np.frombuffer(owner, np.uint16)])
+    g, s = np.concatenate(grams), np.concatenate(names)
+    order = np.lexsort((s, g))
+    g, s = g[order], s[order]
+    first = np.ones(len(g), bool)
+    first[1:] = (g[1:] != g[:-1]) | (s[1:] != s[:-1])  # equal sets count once
+    g, s = g[first], s[first]
+    edge = np.flatnonzero(np.diff(g, prepend=g[0] - 1))
+    size = np.diff(np.append(edge, len(g)))
+    df = np.repeat(size, size)
+    many = df > 1
+    return pa.table({"fp1": pa.array(s[many]), "df": pa.array(df[many].astype(np.int64)), "gram": pa.array(g[many])})
+
+
 def _sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -206,17 +220,20 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80)
     are ignored; an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    scratch, threshold = Scratch(spark, "ngram-join"), percent / 100
+    scratch = Scratch(spark, "ngram-join")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("data"))
-    features = scratch.cut(
-        text.mapInArrow(_features(width, threshold), "doc_id long, n_shingles long, fp1 long, fp2 long, keys array<long>")
-    )
+    features = scratch.cut(text.mapInArrow(_features(width), "doc_id long, n_shingles long, fp1 long, fp2 long"))
     real = features.where("doc_id is not null and n_shingles > 0")
+    fragments = max(1, math.ceil((real.agg(F.sum("n_shingles")).first()[0] or 0) / COUNTED))
+    cut = text.where("doc_id is not null and data is not null").mapInArrow(_cut(width, fragments), "v int, sets binary, owner binary, grams binary")
+    common = cut.groupBy("v").applyInArrow(_count, "fp1 long, df long, gram long")
     #: equal sets are one class; partial aggregation collapses a hot group of copies before the shuffle
-    reps = real.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("id"), F.first("keys").alias("keys"))
-    keys = reps.select("id", F.explode("keys").alias("key"))
-    from pyspark.sql.window import Window
-
+    reps = scratch.cut(real.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")))
+    known = common.groupBy("fp1").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("grams")).join(reps.select("fp1", "n_shingles", "id"), "fp1")
+    n = F.col("n_shingles")
+    #: of the first n - ceil(t n) + 1 n-grams in the order, n - size(grams) are held by no other set
+    take = n - F.ceil(n * percent / 100) + 1 - (n - F.size("grams"))
+    keys = known.where(take > 0).select("id", F.explode(F.slice("grams", F.lit(1), take.cast("int"))).alias("g")).select("id", F.col("g.gram").alias("key"))
     shared = keys.withColumn("leader", F.min("id").over(Window.partitionBy("key"))).where("id <> leader")
     classes = scratch.cut(connected_components(shared.select(F.col("id").alias("src"), F.col("leader").alias("dst")), scratch))
     count = classes.count()
@@ -233,10 +250,12 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80)
     links = scratch.cut(blocks.groupBy("class_id", "bi", "bj").applyInArrow(_links(percent), "src long, dst long"))
     found = scratch.cut(connected_components(links, scratch))
     reached = small(found, found.count())
-    ids = real.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("rep"))
-    ids = ids.join(reached.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("component")
+    ids = reps.withColumnRenamed("id", "rep").join(reached.withColumnRenamed("id", "rep"), "rep", "left").select(
+        "fp1", "fp2", "n_shingles", F.coalesce("component", "rep").alias("component"), "copies"
     )
-    out = features.select("doc_id", "n_shingles", "fp1", "fp2").join(ids, ["fp1", "fp2", "n_shingles"], "left")
+    #: a class of one set that links with nothing needs no row: its component is its own doc_id
+    ids = scratch.cut(ids.join(reps.select("fp1", "fp2", "n_shingles", "id"), ["fp1", "fp2", "n_shingles"]).where("copies > 1 or component <> id").drop("id"))
+    out = skew_left_join(features, ids, ["fp1", "fp2", "n_shingles"], F.col("copies") >= HOT_COPIES, ["doc_id"])
+    out = out.withColumn("component", F.coalesce("component", "doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("component")))
     return out.select("doc_id", "n_shingles", component.alias("component_id"))
