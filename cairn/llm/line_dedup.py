@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from cairn.llm.common import Scratch, skew_left_join, small
 
@@ -134,7 +135,14 @@ def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
 def near_lines(lines: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
     """id of every distinct line (id, line, place) that is within threshold edits of another with an earlier place."""
     n = F.length("line")
-    keyed = lines.select("id", letter_counts(F.col("line")).alias("letters"), segment_keys(F.col("line"), n, threshold).alias("own"), probe_keys(F.col("line"), n, threshold).alias("seek"))
+    own, seek = segment_keys(F.col("line"), n, threshold), probe_keys(F.col("line"), n, threshold)
+    #: first the lines that share any key with another, in one shuffle of keys and ids; the rest is for these few
+    by_key = Window.partitionBy("key")
+    rows = lines.select("id", F.explode(F.array_union(own, seek)).alias("key"))
+    rows = rows.withColumn("low", F.min("id").over(by_key)).withColumn("high", F.max("id").over(by_key)).where("low < high")
+    some = scratch.cut(rows.select("id").distinct())
+    keyed = lines.select("id", "line").join(small(some, some.count()), "id")
+    keyed = scratch.cut(keyed.select("id", letter_counts(F.col("line")).alias("letters"), own.alias("own"), seek.alias("seek")))
     index = keyed.select(F.explode("own").alias("key"), F.col("id").alias("a"), F.col("letters").alias("sa"))
     probe = keyed.select(F.explode(F.array_distinct("seek")).alias("key"), F.col("id").alias("b"), F.col("letters").alias("sb"))
     close = letter_distance(F.col("sa"), F.col("sb")) <= 2 * threshold

@@ -22,7 +22,7 @@ from pyspark.sql.window import Window
 from cairn.llm.common import Scratch, connected_components, skew_left_join, small
 
 #: N-grams that a vertical fragment of the counting step holds on average.
-COUNTED = 1 << 21
+COUNTED = 1 << 20
 #: Leading bytes of a hash that are counted; a chance collision only makes an n-gram look more common.
 PREFIX = 6
 #: Sets and n-grams in a block of a class; a larger class is cut into a grid of block pairs.
@@ -110,8 +110,8 @@ def _cut(width: int, fragments: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for low in range(0, whole.num_rows, 4096):
-                sets = [shingles(x.as_py(), width) for x in whole.column("data").slice(low, 4096)]
+            for low in range(0, whole.num_rows, 2048):
+                sets = [shingles(x.as_py(), width) for x in whole.column("data").slice(low, 2048)]
                 names = np.array([fingerprint(h)[0] for h in sets], np.int64)
                 h = np.concatenate([*sets, np.zeros(0, np.uint64)])
                 owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(x) for x in sets])
