@@ -2,5 +2,4 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from cairn.plans import QUERIES, ORACLES  # noqa: F401
