@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import Scratch
+from cairn.llm.common import Scratch, small
 from cairn.llm.files import attempt_name, new_file, open_store
 
 #: Payloads shorter than this are always written in full.
@@ -52,9 +53,9 @@ def record(page_id, url, payload: bytes, digest: str, size: int, refers_to) -> b
     return b"\r\n".join(head) + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
-def parse(data: bytes) -> tuple[dict[str, str], bytes]:
-    """Header fields (lower-cased names) and payload of one record."""
-    head, _, rest = data.partition(b"\r\n\r\n")
+def parse(member: bytes) -> tuple[dict[str, str], bytes]:
+    """Header fields (lower-cased names) and payload of one record, from its gzip member."""
+    head, _, rest = gzip.decompress(member).partition(b"\r\n\r\n")
     lines = head.decode().split("\r\n")
     if not lines[0].startswith("WARC/"):
         raise ValueError(f"no WARC record: {lines[0][:40]!r}")
@@ -65,8 +66,8 @@ def parse(data: bytes) -> tuple[dict[str, str], bytes]:
     return fields, block.partition(b"\r\n\r\n")[2]
 
 
-def write_warc(pages: DataFrame, root: str, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
-    """Writes a record per row of pages (page_id, url, html, ...) and returns the index rows.
+def write_warc(pages: DataFrame, scratch: Scratch, root: str, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> DataFrame:
+    """Writes a record per row of pages (page_id, url, html, ...), each a gzip member of its own, and returns the index rows.
 
     Of rows with equal payloads (same SHA-1 and size, at least min_revisit_bytes long) the one with the smallest page_id is a
     response, the others revisit it. Null html is an empty payload, a null url an empty target.
@@ -81,21 +82,21 @@ def write_warc(pages: DataFrame, root: str, min_revisit_bytes: int = MIN_REVISIT
         .where("lead < last")
     )
     ids = keyed.select("page_id", "sha", "size").where("page_id is not null").distinct()
-    revisits = ids.join(first, ["sha", "size"]).where("page_id <> lead").select("page_id", "sha", F.col("lead").alias("refers_to"))
-    full = keyed.join(revisits, ["page_id", "sha"], "left").withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
+    revisits = scratch.cut(ids.join(first, ["sha", "size"]).where("page_id <> lead").select("page_id", "sha", F.col("lead").alias("refers_to")))
+    full = keyed.join(small(revisits, revisits.count()), ["page_id", "sha"], "left").withColumn("payload", F.when(F.col("refers_to").isNull(), F.col("payload")))
     ordered = full.repartitionByRange("page_id").sortWithinPartitions("page_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         batch = next((b for b in batches if b.num_rows), None)
         if batch is None:
             return
-        uri, at = f"{root}/{attempt_name()}.warc", 0
+        uri, at = f"{root}/{attempt_name()}.warc.gz", 0
         with new_file(uri) as out:
             while batch is not None:
                 rows = []
                 for r in batch.to_pylist():
                     digest = base64.b32encode(bytes.fromhex(r["sha"])).decode()
-                    data = record(r["page_id"], r["url"], r["payload"] or b"", digest, r["size"], r["refers_to"])
+                    data = gzip.compress(record(r["page_id"], r["url"], r["payload"] or b"", digest, r["size"], r["refers_to"]), 6, mtime=0)
                     out.write(data)
                     kind = "response" if r["refers_to"] is None else "revisit"
                     rows.append({"file": uri, "offset": at, "length": len(data), "url": r["url"], "digest": digest, "page_id": r["page_id"], "type": kind})
@@ -167,5 +168,5 @@ _RECORD = pa.schema(
 def warc_round_trip(pages: DataFrame) -> DataFrame:
     """Writes the archives and their index into the shared folder, then reads every record back through the index."""
     scratch = Scratch(pages.sparkSession, "warc")
-    index = scratch.cut(write_warc(pages, f"{scratch.root}/archives"))
+    index = scratch.cut(write_warc(pages, scratch, f"{scratch.root}/archives"))
     return read_warc(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
