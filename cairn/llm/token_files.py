@@ -10,6 +10,8 @@ its base, the prefix sum of the ids of the parts before it.
 
 from __future__ import annotations
 
+import functools
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -23,8 +25,11 @@ from cairn.llm.common import Scratch
 from cairn.llm.files import attempt_name, local_path, new_file, open_store
 
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
+#: Words encoded in one call.
+CALL_WORDS = 512
 NO_ID = -(1 << 63)
+SIGNS = ".,;:!?#*$%&|\""
 
 
 class WordEncoder:
@@ -35,31 +40,66 @@ class WordEncoder:
     """
 
     def __init__(self, path: str, end_id: int):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.end = np.uint32(end_id).tobytes()
         self.known: dict[str, bytes] = {"": b""}
+        vocab = self.tok.get_vocab()
+        self.ends_word = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
 
     @property
     def width(self) -> int:
         return 2 if self.tok.get_vocab_size() <= 1 << 16 else 4
 
+    def _learn(self, words: list[str]) -> None:
+        """Letters-only words go in one text: each ends with its only word-end id, so the ids split there again.
+
+        Every word ends at least one; where the counts agree each word has just one, otherwise words are encoded alone.
+        """
+        known = self.known
+        plain = [w for w in words if w.isalpha()]
+        for low in range(0, len(plain), CALL_WORDS):
+            part = plain[low : low + CALL_WORDS]
+            ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cut = np.flatnonzero(self.ends_word[ids]) + 1
+            if len(cut) == len(part):
+                data, at = ids.tobytes(), 0
+                for w, end in zip(part, (4 * cut).tolist(), strict=True):
+                    known[w] = data[at:end]
+                    at = end
+            else:
+                self._alone(part)
+        self._alone([w for w in words if not w.isalpha()])
+
+    def _alone(self, words: list[str]) -> None:
+        for w in words:
+            self.known[w] = np.array(self.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text with the end id, as little-endian uint32."""
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known = {"": b""}
         known = self.known
-        new = list({w for words in split for w in words if w not in known})
-        for low in range(0, len(new), 4096):
-            part = new[low : low + 4096]
-            for w, e in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        new = {w for words in split for w in words if w not in known}
+        #: letters and then signs without an apostrophe or bracket are two tokens of the splitter, whatever surrounds them
+        halves = {w: (base, w[len(base) :]) for w in new if (base := w.rstrip(SIGNS)) != w and base.isalpha()}
+        self._learn(sorted({x for w in new for x in halves.get(w, (w,)) if x not in known}))
+        for w, (base, signs) in halves.items():
+            known[w] = known[base] + known[signs]
         return [b"".join(map(known.__getitem__, words)) + self.end for words in split]
 
 
+@functools.cache
+def _encoder(path: str, end_id: int) -> WordEncoder:
+    """One encoder a worker, so its words outlive a task."""
+    return WordEncoder(path, end_id)
+
+
 def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, root: str) -> DataFrame:
     """Writes docs (doc_id, text, ...) in ascending doc_id order; returns the manifest rows (not yet with bases).
 
@@ -80,7 +120,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, root: s
             batch = next(batches, None)
         if batch is None:
             return
-        enc = WordEncoder(tokenizer_path, end_id)
+        enc = _encoder(tokenizer_path, end_id)
         width = enc.width
         with new_file(f"{root}/{name}.bin") as out:
             while batch is not None:
