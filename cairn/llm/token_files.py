@@ -25,7 +25,7 @@ from cairn.llm.common import Scratch
 from cairn.llm.files import attempt_name, local_path, new_file, open_store
 
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 #: Words encoded in one call.
 CALL_WORDS = 512
 NO_ID = -(1 << 63)
@@ -85,10 +85,10 @@ class WordEncoder:
         if len(self.known) > CACHE_WORDS:
             self.known = {"": b""}
         known = self.known
-        new = {w for words in split for w in words if w not in known}
+        new = set().union(*split) - known.keys()
         #: letters and then signs without an apostrophe or bracket are two tokens of the splitter, whatever surrounds them
         halves = {w: (base, w[len(base) :]) for w in new if (base := w.rstrip(SIGNS)) != w and base.isalpha()}
-        self._learn(sorted({x for w in new for x in halves.get(w, (w,)) if x not in known}))
+        self._learn([x for x in {x for w in new for x in halves.get(w, (w,))} if x not in known])
         for w, (base, signs) in halves.items():
             known[w] = known[base] + known[signs]
         return [b"".join(map(known.__getitem__, words)) + self.end for words in split]
