@@ -25,7 +25,7 @@ from cairn.llm.common import Scratch
 from cairn.llm.files import attempt_name, local_path, new_file, open_store
 
 #: Words whose ids a worker remembers.
-CACHE_WORDS = 800_000
+CACHE_WORDS = 1_200_000
 #: Words encoded in one call.
 CALL_WORDS = 512
 NO_ID = -(1 << 63)
@@ -64,7 +64,7 @@ class WordEncoder:
         plain = [w for w in words if w.isalpha()]
         for low in range(0, len(plain), CALL_WORDS):
             part = plain[low : low + CALL_WORDS]
-            ids = np.array(self.tok.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ids = np.array(self.tok.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cut = np.flatnonzero(self.ends_word[ids]) + 1
             if len(cut) == len(part):
                 data, at = ids.tobytes(), 0
