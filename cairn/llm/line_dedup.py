@@ -134,14 +134,17 @@ def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
 
 def near_lines(lines: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
     """id of every distinct line (id, line, place) that is within threshold edits of another with an earlier place."""
-    n = F.length("line")
+    n = F.col("n_line")
     own, seek = segment_keys(F.col("line"), n, threshold), probe_keys(F.col("line"), n, threshold)
-    #: first the lines that share any key with another, in one shuffle of keys and ids; the rest is for these few
+    #: the length and the keys are columns of their own, so that each is computed once and not for every key
+    measured = lines.select("id", "line", F.length("line").alias("n_line"))
+    #: first the lines that share any key with another, in one shuffle of keys and ids (a line's own keys are
+    #: among its probes); the rest is for these few
     by_key = Window.partitionBy("key")
-    rows = lines.select("id", F.explode(F.array_union(own, seek)).alias("key"))
+    rows = measured.select("id", seek.alias("seek")).select("id", F.explode("seek").alias("key"))
     rows = rows.withColumn("low", F.min("id").over(by_key)).withColumn("high", F.max("id").over(by_key)).where("low < high")
     some = scratch.cut(rows.select("id").distinct())
-    keyed = lines.select("id", "line").join(small(some, some.count()), "id")
+    keyed = measured.join(small(some, some.count()), "id")
     keyed = scratch.cut(keyed.select("id", letter_counts(F.col("line")).alias("letters"), own.alias("own"), seek.alias("seek")))
     index = keyed.select(F.explode("own").alias("key"), F.col("id").alias("a"), F.col("letters").alias("sa"))
     probe = keyed.select(F.explode(F.array_distinct("seek")).alias("key"), F.col("id").alias("b"), F.col("letters").alias("sb"))
@@ -185,8 +188,9 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     gone = gone.withColumnRenamed("dropped", "_dropped")
     both = docs.withColumn("_row", F.struct(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"))).join(gone, "_row", "left")
     lines = F.split("text", "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("_dropped"))
-    kept = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+    #: the lines are bound as a lambda variable, or each kept line would split the text again
+    rest = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_dropped")), lambda i: F.get(x, i))
+    kept = F.transform(F.array(lines), lambda x: F.array_join(rest(x), "\n"))[0]
     return both.select(
         *[F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(kept).alias(c) if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
