@@ -105,13 +105,106 @@ def radical_inverse(i: Column) -> Column:
     return F.conv(F.reverse(bits), 2, 10).cast("double") / F.pow(F.lit(2.0), F.length(bits))
 
 
-def type_class(path: Column) -> Column:
-    """A small number by kind of content, from the extension."""
+# Extensions of the type classes 1, 2, 3 and 5.
+TEXT = "txt md csv tsv json xml html htm css js ts cpp c hpp h py log".split()
+EXECUTABLE = "exe dll sys ocx cpl scr com efi".split()
+RAW_MEDIA = "wav bmp dib tiff".split()
+COMPRESSED = "7z zip rar gz xz bz2 zst jpg jpeg png gif webp mp3 aac flac mp4 mkv avi pdf docx xlsx pptx epub msi".split()
+
+
+def type_class(path: Column, kind: Column | None = None) -> Column:
+    """0 directory or link, 1 text, 2 executable, 3 raw media, 4 anything else, 5 compressed already."""
     ext = extension(path)
-    out = F.lit(0)
-    for n, group in enumerate((("txt", "md", "csv", "json", "xml", "html", "log"), ("c", "h", "py", "js", "java", "cpp"), ("exe", "dll", "so", "bin"), ("png", "jpg", "gif", "mp3", "mp4", "wav"), ("zip", "gz", "7z", "rar", "xz")), 1):
-        out = F.when(ext.isin(*group), n).otherwise(out)
-    return out
+    of_file = F.when(ext.isin(TEXT), 1).when(ext.isin(EXECUTABLE), 2).when(ext.isin(RAW_MEDIA), 3).when(ext.isin(COMPRESSED), 5).otherwise(4)
+    return of_file if kind is None else F.when(kind.isin("directory", "symlink"), 0).otherwise(of_file)
+
+
+def type_text(path: Column, kind: Column) -> Column:
+    ext = F.upper(extension(path))
+    return F.when(kind == "directory", "File folder").when(ext == "", "File").otherwise(F.concat(ext, F.lit(" file")))
+
+
+def archive_type(path: Column) -> Column:
+    """Label of an archive by its name; null for other files."""
+    name, ext = F.lower(base_name(path)), extension(path)
+    return (
+        F.when(ext == "zip", "ZIP archive").when(ext == "jar", "JAR archive").when(ext == "war", "WAR archive").when(ext == "apk", "APK archive")
+        .when(ext == "7z", "7z archive").when(ext.rlike("^(rar|r[0-9]{2})$"), "RAR archive").when(name.rlike(r"\.(tar(\.(gz|xz|bz2|zst))?|t(gz|xz|bz2|zst))$"), "TAR archive")
+        .when(ext == "iso", "ISO image").when(ext == "cab", "CAB archive")
+    )
+
+
+def archive_format(content: Column) -> Column:
+    """Format by magic bytes (zip, 7z, rar, tar, iso, cab); null when none fits. A wrapped ZIP is found by the end record in its last 65,557 bytes."""
+    at = lambda offset, magic: F.hex(F.substring(content, offset + 1, len(magic) // 2)) == magic
+    tail = F.hex(F.substring(content, -65557, 65557))
+    wrapped = at(0, "4D5A") & tail.rlike("^(..)*?504B0506")
+    return (
+        F.when(at(0, "504B0304") | at(0, "504B0506") | at(0, "504B0708") | wrapped, "zip").when(at(0, "377ABCAF271C"), "7z")
+        .when(at(0, "526172211A0700") | at(0, "526172211A070100"), "rar").when(at(257, "7573746172"), "tar").when(at(0x8001, "4344303031"), "iso").when(at(0, "4D534346"), "cab")
+    )
+
+
+def strict_path(path: Column) -> Column:
+    """The path with slashes; null when it is rooted, empty, has an empty, . or .. step, a drive colon or a NUL."""
+    p = F.translate(path, "\\", "/")
+    return F.when((p != "") & ~p.rlike(r"(^|/)(\.{0,2})(/|$)") & ~p.rlike("^[A-Za-z]:") & ~F.contains(p, F.lit("\0")), p)
+
+
+def strip_version(name: Column) -> Column:
+    """An ISO file name without ;number and trailing dots."""
+    return F.regexp_replace(F.regexp_replace(name, ";[0-9]+$", ""), r"\.+$", "")
+
+
+def hex_number(text: Column) -> Column:
+    return F.when(text.rlike("^[0-9A-Fa-f]{1,8}$"), F.conv(text, 16, 10).cast("long"))
+
+
+def octal_number(text: Column) -> Column:
+    t = F.regexp_replace(text, r"^[ \x00]+|[ \x00]+$", "")
+    return F.when(t.rlike("^[0-7]{1,20}$"), F.conv(t, 8, 10).cast("long"))
+
+
+def last_percent(text: Column) -> Column:
+    """The last number before a % sign, when it is 100 or less."""
+    n = F.try_element_at(F.regexp_extract_all(text, F.lit(r"(\d{1,9})%"), 1), F.lit(-1)).try_cast("int")
+    return F.when(n <= 100, n)
+
+
+def count_text(n: Column, one: str, many: str) -> Column:
+    return F.concat(F.format_number(n, 0), F.lit(" "), F.when(n == 1, one).otherwise(many))
+
+
+def attribute_letters(bits: Column) -> Column:
+    """Letters of a file attribute mask: read-only, hidden, system, archive, reparse point, offline, recall."""
+    marks = [(0x1, "R"), (0x2, "H"), (0x4, "S"), (0x20, "A"), (0x400, "L"), (0x1000, "O"), (0x400000, "C")]
+    return F.concat(*[F.when(bits.bitwiseAND(F.lit(m)) != 0, c).otherwise("") for m, c in marks])
+
+
+def distance_slot(distance: Column) -> Column:
+    """(slot, bits, value) of a match distance: four direct slots, then two for each power of two with the rest as footer."""
+    p = distance - 1
+    width = bit_width(p) - 1
+    top = F.floor(p / F.pow(F.lit(2.0), width - 1)).cast("long") % 2
+    slot = F.when(p < 4, p).otherwise(2 * width + top).cast("long")
+    bits = F.when(p < 4, 0).otherwise(width - 1)
+    base = ((2 + slot % 2) * F.pow(F.lit(2.0), bits)).cast("long")
+    return F.struct(slot.alias("slot"), bits.cast("int").alias("bits"), F.when(p < 4, 0).otherwise(p - base).cast("long").alias("value"))
+
+
+def slot_distance(slot: Column, value: Column) -> Column:
+    base = ((2 + slot % 2) * F.pow(F.lit(2.0), F.floor(slot / 2) - 1)).cast("long")
+    return F.when(slot < 4, slot + 1).otherwise(base + value + 1).cast("long")
+
+
+def value_code(n: Column) -> Column:
+    """(code, bits, extra): 0 to 15 direct, then one code for each power of two."""
+    width = bit_width(n) - 1
+    big = n >= 16
+    return F.struct(
+        F.when(big, 12 + width).otherwise(n).cast("int").alias("code"), F.when(big, width).otherwise(0).cast("int").alias("bits"),
+        F.when(big, n - F.pow(F.lit(2.0), width).cast("long")).otherwise(0).cast("long").alias("extra"),
+    )
 
 
 def version_parts(text: Column) -> Column:

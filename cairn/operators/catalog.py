@@ -157,7 +157,7 @@ def type_ahead(entries: DataFrame, needle: str) -> DataFrame:
 
 def ordered(entries: DataFrame) -> DataFrame:
     """Position in compression order: type class, extension, then scan order."""
-    cls = S.type_class(F.col("path"))
+    cls = S.type_class(F.col("path"), F.col("kind"))
     w = Window.partitionBy("archive_id").orderBy(cls, F.when(cls > 0, S.extension(F.col("path"))), "ord")
     return entries.select(*KEY, cls.alias("class"), F.row_number().over(w).alias("position"))
 

@@ -174,7 +174,7 @@ def catalog_type_ahead(spark, sf_dir):
     return C.type_ahead(entries(spark, sf_dir), "f77")
 
 
-@query(f"""with {E_SQL}, c as (select *, case lower(regexp_extract(path, '[^.]*$')) when 'txt' then 1 when 'json' then 1 when 'py' then 2 when 'zip' then 5 else 0 end as class from e)
+@query(f"""with {E_SQL}, c as (select *, case lower(regexp_extract(path, '[^.]*$')) when 'txt' then 1 when 'json' then 1 when 'py' then 1 when 'zip' then 5 else 4 end as class from e)
 select archive_id, path, class::int as class, row_number() over (partition by archive_id order by class, case when class > 0 then lower(regexp_extract(path, '[^.]*$')) end, ord)::int as position from c""")
 def catalog_compression_order(spark, sf_dir):
     return C.ordered(entries(spark, sf_dir))

@@ -54,3 +54,33 @@ def test_update_is_strict_and_sync_mirrors(spark):
 def test_entropy_of_nothing_and_of_two_symbols(spark):
     df = spark.createDataFrame([(1, bytearray(b"abab")), (2, bytearray(b""))], "k int, d binary")
     assert [(r.k, r.bits) for r in Y.entropy(Y.byte_counts(df, "k", "d"), "k").collect()] == [(1, 1.0)]
+
+
+def test_slots_and_value_codes(spark):
+    def slot(d):
+        p = d - 1
+        if p < 4:
+            return p, 0, 0
+        n = p.bit_length() - 1
+        s = 2 * n + ((p >> (n - 1)) & 1)
+        return s, n - 1, p - ((2 + s % 2) << (n - 1))
+
+    ds = [*range(1, 200), 65535, 65536, 65537, (1 << 24) + 5, (1 << 32) - 1]
+    d = spark.createDataFrame([(x,) for x in ds], "d long").select("d", S.distance_slot(F.col("d")).alias("s"), S.value_code(F.col("d")).alias("v"))
+    d = d.withColumn("back", S.slot_distance(F.col("s.slot"), F.col("s.value")))
+    for r in d.collect():
+        assert tuple(r.s) == slot(r.d) and r.back == r.d
+        n = r.d.bit_length() - 1
+        assert tuple(r.v) == ((r.d, 0, 0) if r.d < 16 else (12 + n, n, r.d - (1 << n)))
+
+
+def test_names_and_parsers(spark):
+    classes = [one(spark, S.type_class(F.lit(p))) for p in ("a.md", "A.EXE", "x.wav", "x", "x.bin", "x.ZIP")]
+    assert classes == [1, 2, 3, 4, 4, 5]
+    assert [one(spark, S.archive_type(F.lit(p))) for p in ("a.tar.gz", "a.TGZ", "a.part1.rar", "a.r07", "a.gz")] == ["TAR archive", "TAR archive", "RAR archive", "RAR archive", None]
+    assert [one(spark, S.strict_path(F.lit(p))) for p in ("a\\b", "a//b", "/a", "a/", "a/../b", "a/./b", "C:x", "..x/y", "")] == ["a/b", None, None, None, None, None, None, "..x/y", None]
+    assert [one(spark, S.strip_version(F.lit(p))) for p in ("A.TXT;1", "B.;12", "C;x")] == ["A.TXT", "B", "C;x"]
+    assert [one(spark, S.octal_number(F.lit(p))) for p in ("0000644\0", " 17 ", "8", "")] == [420, 15, None, None]
+    assert [one(spark, S.last_percent(F.lit(p))) for p in ("1% x 42%", "none", "101%")] == [42, None, None]
+    assert one(spark, S.attribute_letters(F.lit(0x25))) == "RSA"
+    assert [one(spark, S.count_text(F.lit(n), "file", "files")) for n in (1, 12345)] == ["1 file", "12,345 files"]
