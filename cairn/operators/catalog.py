@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cairn.functions import scalars as S
+from cairn.operators.running import running_before
 
 KEY = ["archive_id", "path"]
+#: Entries of an archive that share a bucket of the running total.
+ORD_BUCKET = 65536
 
 
 def layout(entries: DataFrame, block: int) -> DataFrame:
     """Adds the file's first byte and last + 1 in the solid stream of its archive; directories and links take no room."""
     size = F.when(F.col("kind") == "file", F.col("size")).otherwise(0)
-    before = Window.partitionBy("archive_id").orderBy("ord").rowsBetween(Window.unboundedPreceding, -1)
-    start = F.coalesce(F.sum(size).over(before), F.lit(0))
-    return entries.withColumn("begin", start).withColumn("end", start + size).withColumn("first_block", F.floor(start / block)).withColumn("block_offset", start % block)
+    placed = running_before(entries, ["archive_id"], "ord", size, F.floor(F.col("ord") / ORD_BUCKET), "begin")
+    start = F.col("begin")
+    return placed.withColumn("end", start + size).withColumn("first_block", F.floor(start / block)).withColumn("block_offset", start % block)
 
 
 def extents(placed: DataFrame, block: int) -> DataFrame:
@@ -97,6 +100,60 @@ def move(entries: DataFrame, moves: DataFrame) -> DataFrame:
     return rewrite(rewrite(entries, "path"), "link_target").select(entries.columns)
 
 
+def _above(rows: DataFrame, column: str = "path") -> DataFrame:
+    """(archive_id, column, up): every directory strictly above a path."""
+    up = rows.select("archive_id", column, F.explode(S.ancestors(F.col(column))).alias("up"))
+    return up.where(F.col("up") != F.col(column))
+
+
+def _bad(rows: DataFrame, column: str, rule: str) -> DataFrame:
+    return rows.select("archive_id", F.col(column).alias("path"), F.lit(rule).alias("rule")).distinct()
+
+
+def _children_of_files(entries: DataFrame) -> DataFrame:
+    flat = entries.where("kind <> 'directory'").select("archive_id", F.col("path").alias("up"))
+    return _bad(_above(entries).join(flat, ["archive_id", "up"]), "up", "not a directory but has children")
+
+
+def map_violations(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(archive_id, path, rule) for rows to add that break the catalog; empty when all may go in."""
+    twice = _bad(duplicates(new), "path", "destination given twice")
+    kinds = new.join(old.select(*KEY, F.col("kind").alias("was")), KEY).where("(kind = 'directory') <> (was = 'directory')")
+    merged = upsert(old.select(*KEY, "kind"), new.select(*KEY, "kind"))
+    return twice.unionByName(_bad(kinds, "path", "type change")).unionByName(_children_of_files(merged))
+
+
+def move_violations(entries: DataFrame, moves: DataFrame) -> DataFrame:
+    """(archive_id, path, rule) for moves (archive_id, src, dest) that may not be done; prefix tests are equi-joins on ancestors."""
+    m = moves.select("archive_id", "src", "dest")
+    twice = lambda c, rule: _bad(m.groupBy("archive_id", c).count().where("count > 1"), c, rule)
+    other = m.select("archive_id", F.col("src").alias("up"), F.col("src").alias("other"))
+    under = lambda c: m.select("*", F.explode(S.ancestors(F.col(c))).alias("up")).join(other, ["archive_id", "up"])
+    by_dest, by_src = under("dest"), under("src")
+    have = entries.select("archive_id", F.explode(S.ancestors(F.col("path"))).alias("src")).distinct()
+    after = move(entries, m)
+    parents = after.select(*KEY, S.parent_path(F.col("path")).alias("up"))
+    flat = after.where("kind <> 'directory'").select("archive_id", F.col("path").alias("up"))
+    files = after.where("kind = 'file'").select("archive_id", F.col("path").alias("link_target"))
+    found = [
+        _bad(m.where("src = dest"), "src", "source is destination"),
+        twice("src", "source given twice"),
+        twice("dest", "destination given twice"),
+        _bad(by_dest.where("other = src and src <> dest"), "src", "into its own subtree"),
+        _bad(by_src.where("other <> src"), "src", "sources overlap"),
+        _bad(by_dest.where("other <> src"), "dest", "destination in a moved subtree"),
+        _bad(m.join(have, ["archive_id", "src"], "left_anti"), "src", "no such source"),
+        _bad(duplicates(after), "path", "destination exists"),
+        _bad(parents.join(flat, ["archive_id", "up"]), "up", "parent is not a directory"),
+        _children_of_files(after),
+        _bad(after.where("kind = 'hardlink'").join(files, ["archive_id", "link_target"], "left_anti"), "path", "dangling hard link"),
+    ]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def duplicates(entries: DataFrame) -> DataFrame:
     return entries.groupBy(KEY).count().where("count > 1")
 

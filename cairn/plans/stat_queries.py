@@ -134,10 +134,3 @@ def json_property(spark, sf_dir):
 def recent_unique(spark, sf_dir):
     e = _read(spark, sf_dir, "events").groupBy("user_id").agg(F.max("ts").alias("last_seen"))
     return e.orderBy(F.desc("last_seen"), "user_id").limit(20)
-
-
-@query("with c as (select event_type as symbol, count(*) as n from events group by 1) select symbol, n, greatest(1, floor(n * 4096.0 / (sum(n) over ())))::bigint as freq from c")
-def frequency_normalise(spark, sf_dir):
-    c = _read(spark, sf_dir, "events").groupBy(F.col("event_type").alias("symbol")).agg(F.count(F.lit(1)).alias("n"))
-    total = c.agg(F.sum("n").alias("total"))
-    return c.join(F.broadcast(total)).select("symbol", "n", F.greatest(F.lit(1), F.floor(F.col("n") * 4096.0 / F.col("total"))).alias("freq"))
