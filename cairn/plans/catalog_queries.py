@@ -193,12 +193,12 @@ def catalog_duplicate_destinations(spark, sf_dir):
 
 
 @query(f"""with {E_SQL} select path, regexp_extract(path, '^(.*)/[^/]*$', 1) as parent, regexp_extract(path, '[^/]*$') as name, lower(regexp_extract(path, '[^.]*$')) as ext,
-case when size < 1024 then size || ' B' else printf('%.1f KB', size / 1024.0) end as size_text, strftime(to_timestamp(mtime) at time zone 'UTC', '%Y-%m-%d %H:%M') as modified,
-greatest(1, ceil(length(bin(size)) / 7.0))::int as varint, size + 1024 * 1024 as parsed from e where size < 1024 * 1024 and size > 0""")
+case when size < 1024 then size || ' B' when size < 1048576 then printf('%.1f KB', round_even(size / 1024.0, 1)) else printf('%.1f MB', round_even(size / 1048576.0, 1)) end as size_text, strftime(to_timestamp(mtime) at time zone 'UTC', '%Y-%m-%d %H:%M') as modified,
+greatest(1, ceil(length(bin(size)) / 7.0))::int as varint, size + 1024 * 1024 as parsed from e""")
 def scalar_paths_and_sizes(spark, sf_dir):
     p, n = F.col("path"), F.col("size")
     parsed = n + S.parse_size(F.lit("1M"))
-    return entries(spark, sf_dir).where("size < 1024 * 1024 and size > 0").select(
+    return entries(spark, sf_dir).select(
         p, S.parent_path(p).alias("parent"), S.base_name(p).alias("name"), S.extension(p).alias("ext"), S.size_text(n).alias("size_text"), S.unix_minute(F.col("mtime")).alias("modified"), S.varint_size(n).alias("varint"), parsed.alias("parsed")
     )
 
