@@ -16,7 +16,7 @@ from cairn.llm.common import Scratch, skew_left_join, small
 
 #: Largest edit distance (code points) between a line and an earlier one that drops it.
 THRESHOLD = 2
-#: Lines of fewer code points stay.
+#: Lines of fewer code points take no part in the edit join.
 MIN_CHARS = 20
 #: Occurrences from which a line is joined as a hot key.
 HOT_LINE = 1000
@@ -123,10 +123,14 @@ def _bit(gap: Column, threshold: int) -> Column:
     return out
 
 
-def _occurrences(docs: DataFrame, min_chars: int) -> DataFrame:
-    """One row per line of at least min_chars characters: its text, hashes and place; a place is (doc_id, hash of the text, line number)."""
+def _occurrences(docs: DataFrame, min_chars: int, short_repeats: bool) -> DataFrame:
+    """One row per line of at least min_chars characters, with short_repeats also per shorter line that is not blank.
+
+    A row has the line's text, hashes and place; a place is (doc_id, hash of the text, line number).
+    """
     lines = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    lines = lines.where(F.length("line") >= min_chars)
+    long = F.length("line") >= min_chars
+    lines = lines.where(long | F.col("line").rlike(r"\S") if short_repeats else long)
     return lines.select(
         F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), F.struct("doc_id", "text_hash", "line_no").alias("place"), "line"
     )
@@ -159,14 +163,14 @@ def near_lines(lines: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
     return near.select(F.when(F.col("pa") < F.col("pb"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
 
 
-def dropped_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def dropped_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, short_repeats: bool = False) -> DataFrame:
     """doc_id, text_hash, dropped: for each text that loses lines, the numbers (from 0) of those lines."""
     scratch = Scratch(docs.sparkSession, "line-dedup")
-    seen = _occurrences(docs.where("text is not null"), min_chars)
+    seen = _occurrences(docs.where("text is not null"), min_chars, short_repeats)
     #: a hot line collapses in the partial aggregation
     lines = seen.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line"))
     lines = scratch.cut(lines.withColumn("id", F.monotonically_increasing_id()))
-    near = scratch.cut(near_lines(lines, threshold, scratch))
+    near = scratch.cut(near_lines(lines.where(F.length("line") >= min_chars), threshold, scratch))
     marked = lines.select("id", "h1", "h2", "place", "n").join(small(near.withColumn("near", F.lit(True)), near.count()), "id", "left")
     marked = marked.withColumn("near", F.coalesce("near", F.lit(False))).where("near or n > 1")
     marked = scratch.cut(marked.select("h1", "h2", F.col("place").alias("first"), "near", "n"))
@@ -175,16 +179,16 @@ def dropped_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     return gone.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.text_hash").alias("text_hash")).agg(F.sort_array(F.collect_set("place.line_no")).alias("dropped"))
 
 
-def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS, short_repeats: bool = False) -> DataFrame:
     """docs (doc_id, text, ...) with every column, text without its dropped lines, and n_lines, n_dropped.
 
     Lines are the parts of the text between line feeds. A line of at least min_chars code points is dropped when an earlier line of
-    the corpus, in order of (doc_id, line number), is the same or within threshold edits; shorter lines stay. The earliest of
-    a group stays, so every content is kept once. Null texts stay null with 0 lines; null doc_ids come first in the order; rows
+    the corpus, in order of (doc_id, line number), is the same or within threshold edits. With short_repeats, a shorter line that is
+    not blank is dropped when an earlier line is the same, without it shorter lines stay. The earliest of a group stays, so every content is kept once. Null texts stay null with 0 lines; null doc_ids come first in the order; rows
     that repeat doc_id and text are judged as one and all keep its first lines. Extra columns stay as they are, those named n_lines or
     n_dropped are replaced. Very long lines cost time in proportion to their length.
     """
-    gone = dropped_lines(docs, threshold, min_chars).select(F.struct(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).alias("_row"), "dropped")
+    gone = dropped_lines(docs, threshold, min_chars, short_repeats).select(F.struct(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).alias("_row"), "dropped")
     gone = gone.withColumnRenamed("dropped", "_dropped")
     both = docs.withColumn("_row", F.struct(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"))).join(gone, "_row", "left")
     lines = F.split("text", "\n")

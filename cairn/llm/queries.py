@@ -17,7 +17,7 @@ def op2_quality_rules(spark, sf_dir):
 
 
 def op3_line_dedup(spark, sf_dir):
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), short_repeats=True)
 
 
 def op4_warc(spark, sf_dir):

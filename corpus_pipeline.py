@@ -22,7 +22,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops repeated lines; a document of which nothing but white space is left goes."""
-    out = line_dedup.dedup_lines(docs)
+    out = line_dedup.dedup_lines(docs, short_repeats=True)
     left = (F.col("n_dropped") == 0) | F.col("text").rlike(r"\S")
     return out.where(left).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 

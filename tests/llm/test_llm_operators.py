@@ -12,7 +12,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, chat, decontaminate, language, line_dedup, ngram_jaccard, quality, token_files, url_filter, warc
+from cairn.llm import bpe, chat, decontaminate, language, line_dedup, ngram_jaccard, quality, queries, token_files, url_filter, warc
 
 WORDS = [f"{a}{b}" for a in "bcdfg" for b in "aeiou"]
 DOCS = "doc_id long, text string, lang string, n_lines string, component string"
@@ -102,6 +102,26 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).count() == 0
 
 
+def test_line_dedup_of_short_repeats(spark, tmp_path):
+    rng = random.Random(8)
+    short = ["Les.", "Of, edti.", "é", "  ", "", "\t", "Les", " Les."]
+    base = ["".join(rng.choice("abcdef ") for _ in range(rng.randint(18, 24))) for _ in range(12)]
+    rows = [(d, "\n".join(rng.choice(short + base) for _ in range(rng.randint(1, 6)))) for d in range(40)]
+    rows += [(100, None), (101, ""), (None, "Les.\nLes.")]
+    seen, want = [], {}
+    for d, t in sorted(rows, key=lambda r: -1 if r[0] is None else r[0]):
+        keep = []
+        for x in [] if t is None else t.split("\n"):
+            gone = x in seen if len(x) < 20 else any(len(y) >= 20 and distance(x, y) <= 2 for y in seen)
+            if not x.strip() or not gone:
+                keep.append(x)
+            seen.append(x)
+        want[d] = None if t is None else "\n".join(keep)
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = queries.op3_line_dedup(spark, str(tmp_path)).collect()
+    assert {r.doc_id: r.text for r in got} == want
+
+
 def test_quality_counts_and_model(spark):
     rng = random.Random(2)
     good = [" ".join(rng.choice(WORDS) for _ in range(40)) for _ in range(60)]
