@@ -2,7 +2,8 @@
 
 Numbers, names and units become typed placeholders, so a question with other values keeps its template.
 Windows of template words are joined by hash with those of the benchmark; where windows line up, the
-values in the slots must map consistently, one benchmark value to one value of the document.
+values in the slots must map consistently, one benchmark value to one value of the document. Windows that are
+mostly slots, and items shorter than a window, are found word for word in the same join.
 """
 
 from __future__ import annotations
@@ -49,6 +50,20 @@ def window_keys(words: Column, window: int) -> Column:
     return F.when(n >= window, many).when((n > 1) | (F.get(words, F.lit(0)) != ""), F.array(F.xxhash64(words))).otherwise(F.array().cast("array<long>"))
 
 
+def exact_keys(words: Column, sizes: list[int]) -> Column:
+    """Hash of every run of words of each size, apart from those of window_keys; none where the words are fewer."""
+
+    def runs(n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
+        return F.when(F.size(words) >= n, F.transform(starts, lambda i: _exact_key(F.slice(words, i, n)))).otherwise(F.array().cast("array<long>"))
+
+    return F.concat(*map(runs, sizes))
+
+
+def _exact_key(words: Column) -> Column:
+    return F.xxhash64(F.lit("exact"), F.size(words), words)
+
+
 def _is_slot(word: Column) -> Column:
     return word.rlike(f"[{NAME}-{UNIT}]")
 
@@ -61,17 +76,28 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     scratch = Scratch(docs.sparkSession, "decontaminate")
     items = benchmark.where("text is not null").select("item_id", template_words(F.col("text")).alias("t"), plain_words(F.col("text")).alias("p"))
     items = items.select("item_id", "t", "p", F.posexplode(window_keys(F.col("t"), window)).alias("at", "key"))
-    words = F.slice("t", F.col("at") + 1, window)
+    words, own = F.slice("t", F.col("at") + 1, window), F.slice("p", F.col("at") + 1, window)
     items = items.withColumn("slots", F.size(F.filter(words, _is_slot)))
-    #: a window of slots alone says nothing
-    items = scratch.cut(items.where(2 * F.col("slots") <= F.size(words)).select("item_id", "at", "key", "slots", F.slice("p", F.col("at") + 1, window).alias("own"), F.transform(words, _is_slot).alias("mask")))
-    size = items.count()
+    mostly = 2 * F.col("slots") > F.size(words)
+    items = scratch.cut(items.select("item_id", "at", "key", "slots", own.alias("own"), F.transform(words, _is_slot).alias("mask"), mostly.alias("mostly"), (F.size("t") < window).alias("brief")))
+    #: a window of slots says nothing as a template, and a brief item none of longer texts: these are sought word for word
+    exact = scratch.cut(items.where("mostly or brief").select("item_id", "at", _exact_key(F.transform("own", F.lower)).alias("key"), F.size("own").alias("n")))
+    sizes = sorted(r.n for r in exact.select("n").distinct().collect())
+    every = items.groupBy("item_id").agg(F.countDistinct("at").alias("n_all"))
+    items = items.where("not mostly")
+    size = items.count() + exact.count()
     row = F.struct(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t")).alias("row")
-    rows = docs.where("text is not null").select(row, template_words(F.col("text")).alias("t"))
+    rows = docs.where("text is not null").select(row, template_words(F.col("text")).alias("t"), *([F.transform(plain_words(F.col("text")), F.lower).alias("p")] if sizes else []))
     #: binds the words once for all windows of a text
     keys = F.flatten(F.transform(F.array(F.col("t")), lambda w: window_keys(w, window)))
+    if sizes:
+        #: after the windows of the template, so that those keep their places
+        keys = F.concat(keys, F.flatten(F.transform(F.array(F.col("p")), lambda w: exact_keys(w, sizes))))
     seen = rows.select("row", F.posexplode(keys).alias("pos", "key"))
-    hits = scratch.cut(seen.join(small(items.select("key", "item_id", "at", "slots"), size), "key").select("row", "pos", "item_id", "at", "slots", "key"))
+    sought = items.select("key", "item_id", "at", "slots", F.lit(False).alias("exact"))
+    sought = sought.union(exact.select("key", "item_id", "at", F.lit(0), F.lit(True)))
+    found = scratch.cut(seen.join(small(sought, size), "key").select("row", "pos", "item_id", "at", "slots", "key", "exact"))
+    hits = found.where("not exact")
     shift = (F.col("pos") - F.col("at")).alias("shift")
     #: only windows with slots are read again for their values
     slotted = hits.where("slots > 0").select("row", "pos", "item_id", "at", shift)
@@ -88,9 +114,15 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     aligned = hits.select("row", "item_id", "at", shift)
     if bad is not None:
         aligned = aligned.join(bad, ["row", "item_id", "shift"], "left_anti")
-    total = items.groupBy("item_id").agg(F.countDistinct("at").alias("windows"))
-    held = aligned.groupBy("row", "item_id").agg(F.countDistinct("at").alias("held"))
-    share = F.col("held") / F.col("windows")
+    total = items.groupBy("item_id").agg(F.countDistinct("at").alias("n_template"))
+    total = every.join(total, "item_id", "left")
+    if sizes:
+        aligned = aligned.select("row", "item_id", "at", F.lit(False).alias("exact")).union(found.where("exact").select("row", "item_id", "at", "exact"))
+    else:
+        aligned = aligned.withColumn("exact", F.lit(False))
+    held = aligned.groupBy("row", "item_id").agg(F.countDistinct("at").alias("n_held"), F.countDistinct(F.when(~F.col("exact"), F.col("at"))).alias("n_same"))
+    #: of the windows that count as templates, or of all
+    share = F.greatest(F.col("n_same") / F.col("n_template"), F.col("n_held") / F.col("n_all"))
     return held.join(small(total, size), "item_id").where(share >= min_share).select("row", "item_id", share.alias("share"))
 
 
@@ -98,7 +130,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     """docs (doc_id, text, ...) with every column, and contaminated boolean, item_ids (sorted array of the items found).
 
     An item is found where at least min_share of its windows of template words occur in the text, with slot values that
-    map consistently at each alignment. An item of fewer words than a window is found in a text that is the same template as a whole.
+    map consistently at each alignment. Windows of which more than half the words are slots count where the text holds them word for word, but
+    for case and punctuation; the share is the larger of that of the other windows and that of all. An item of fewer words
+    than a window is found in a text that is the same template as a whole, or that holds it word for word.
     Null texts, empty texts and items, and an empty benchmark: not contaminated. Repeated rows and null
     doc_ids keep their rows. Columns of docs named contaminated or item_ids are replaced.
     """

@@ -164,6 +164,27 @@ def test_decontamination(spark):
     assert got == {1: [7], 2: [7], 3: [], 4: [], 5: [], 6: [], None: [10]}
 
 
+def test_decontamination_word_for_word(spark):
+    numbers = "Solve 3 5 8 13 21 34 55 89 144 233"
+    title = "The Old Man And The Sea By Ernest Hemingway Part One"
+    mixed = "Count how many of the red apples are left: 3 5 8 13 21 34 55 89 144 233 377 610 987"
+    items = [(1, numbers), (2, "Who wrote the play Hamlet?"), (3, title), (4, "12 34 56"), (5, mixed), (6, ""), (7, "...")]
+    docs = [
+        (1, f"First, a page. {numbers}, and then more text of no importance at all."),
+        (2, "A quiz for all of us here today: who wrote the play Hamlet? Nobody knew it."),
+        (3, f"I have read it: {title.upper()} and liked it very much indeed."),
+        (4, "Solve 4 6 9 14 22 35 56 90 145 234, and then more text of no importance at all."),
+        (5, "A quiz for all of us here today: who wrote the play Macbeth? Nobody knew it."),
+        (6, "They are 12, 34 and 56"), (7, "12 34 56"), (8, "7 8 9"), (9, "Who wrote the play Hamlet?"), (10, "Who wrote the play"), (11, None), (12, ""),
+        (13, "Count how many of the red apples are left: 4 6 9 14 22 35 56 90 145 234 378 611 988"),
+        (14, "See 5 8 13 21 34 55 89 144 233 377 610 987 there."),
+        (None, "By hand: 12 34 56, then the rest of a longer text with words."),
+    ]
+    want = {1: [1], 2: [2], 3: [3], 7: [4], 9: [2], 13: [5], 14: [1, 5], None: [4]}
+    got = {r.doc_id: r.item_ids for r in decontaminate.decontaminate(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {k: want.get(k, []) for k, _ in docs}
+
+
 def test_role_repair_is_least(spark):
     rng = random.Random(2)
     for _ in range(150):
