@@ -42,6 +42,22 @@ def entropy(counts: DataFrame, key: str) -> DataFrame:
     return context.groupBy(key).agg(F.abs(F.round(bits, 6)).alias("bits"), F.sum("m").alias("n_bytes"))
 
 
+def byte_lanes(content: DataFrame, key: str, data: str) -> DataFrame:
+    """(key, pos, lane): for each byte (from 1) of each row, the top three bits of the byte before it, 0 for the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, x in enumerate(batch.column(1)):
+                raw = np.frombuffer(x.as_py() or b"", np.uint8)
+                if n := len(raw):
+                    keys = batch.column(0).take(pa.array(np.full(n, i)))
+                    lane = np.concatenate([[0], raw[:-1] >> 5]).astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([keys, pa.array(np.arange(1, n + 1, dtype=np.int32)), pa.array(lane)], names=[key, "pos", "lane"])
+
+    kind = content.schema[key].dataType.simpleString()
+    return content.select(key, F.col(data).cast("binary").alias("data")).mapInArrow(run, f"{key} {kind}, pos int, lane int")
+
+
 def gf_tables() -> tuple[list[int], list[int]]:
     """Powers and logarithms of 2 in GF(2^8) modulo 0x11D."""
     exp, log, x = [], [0] * 256, 1

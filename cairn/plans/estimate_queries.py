@@ -104,6 +104,22 @@ def context_clusters(spark, sf_dir):
     return M.cluster_contexts(c, passes=1)
 
 
+@query()
+def document_context_clusters(spark, sf_dir):
+    c = Y.byte_counts(_read(spark, sf_dir, "documents").withColumn("all", F.lit(0)), "all", "text", order=1)
+    return M.cluster_contexts(c.select(F.col("prev").alias("ctx"), F.col("b").alias("symbol"), "n"), passes=1)
+
+
+@query()
+def document_nearest_match(spark, sf_dir):
+    return M.nearest_match_whole(_read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query()
+def document_literal_lanes(spark, sf_dir):
+    return Y.byte_lanes(_read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
 @query("""with x as (select item_id, text, unnest(range(0, length(text) - 3)) as pos from benchmark), g as (select item_id, pos, substr(text, pos + 1, 4) as gram from x), d as (select item_id, pos, pos - lag(pos) over (partition by item_id, gram order by pos) as distance from g)
 select item_id, pos::int as pos, distance::int as distance from d where distance <= 65536""")
 def nearest_match(spark, sf_dir):
@@ -180,6 +196,20 @@ def parity_repair(spark, sf_dir):
     return back.select(F.col("stripe").alias("item_id"), "shard", F.sha2("data", 256).alias("digest"))
 
 
+@query()
+def document_parity_repair(spark, sf_dir):
+    """parity_repair for every document that is not empty; rows that repeat doc_id and text are one."""
+    d = _read(spark, sf_dir, "documents").where("text <> ''")
+    d = d.select(F.concat_ws(":", F.xxhash64("text"), "doc_id").alias("set_id"), F.pmod(F.xxhash64("text"), F.lit(4)).alias("stripe"), F.col("text").cast("binary").alias("d")).distinct()
+    n = F.floor((F.octet_length("d") + 3) / 4).cast("int")
+    cut = d.select("set_id", "stripe", n.alias("n"), "d", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("shard"))
+    piece = F.rpad(F.substring("d", F.col("shard") * F.col("n") + 1, F.col("n")), F.col("n"), F.lit(b"\0"))
+    full = V.encode_parity(cut.select("set_id", "stripe", "shard", piece.alias("data")), 4, 2)
+    hurt = full.where("shard <> stripe").withColumn("data", F.when(F.col("shard") == (F.col("stripe") + 1) % 4, F.concat(F.lit(b"\0"), F.col("data"))).otherwise(F.col("data")))
+    back = V.repair(hurt, 4, 2).where("shard < 4")
+    return back.select(F.get(F.split("set_id", ":"), F.lit(1)).cast("long").alias("doc_id"), "shard", F.sha2("data", 256).alias("digest"))
+
+
 @query("select doc_id, ceil(octet_length(encode(text)) / 4096)::bigint as blocks, octet_length(encode(text))::bigint as bytes, true as whole from documents where text <> ''")
 def codec_round_trip(spark, sf_dir):
     """Every text through the block codecs and back."""

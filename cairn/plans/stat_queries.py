@@ -44,6 +44,31 @@ def content_crc32(spark, sf_dir):
     return _read(spark, sf_dir, "benchmark").select("item_id", S.crc_text(F.crc32(F.col("text").cast("binary"))).alias("crc"))
 
 
+@query()
+def document_byte_histogram(spark, sf_dir):
+    return Y.byte_counts(_read(spark, sf_dir, "documents"), "doc_id", "text").select("doc_id", "b", "n")
+
+
+@query()
+def document_byte_entropy_order0(spark, sf_dir):
+    return Y.entropy(Y.byte_counts(_read(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+
+
+@query()
+def document_byte_entropy_order1(spark, sf_dir):
+    return Y.entropy(Y.byte_counts(_read(spark, sf_dir, "documents"), "doc_id", "text", order=1), "doc_id")
+
+
+@query("select doc_id, sha256(text) as digest, octet_length(encode(text))::bigint as size from documents")
+def document_content_digest(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"), F.octet_length("text").cast("long").alias("size"))
+
+
+@query()
+def document_content_crc32(spark, sf_dir):
+    return _read(spark, sf_dir, "documents").select("doc_id", S.crc_text(F.crc32(F.col("text").cast("binary"))).alias("crc"))
+
+
 @query("""with s as (select l_orderkey as pos, min(l_quantity)::int as b0, max(l_quantity)::int as b1 from lineitem group by 1) select pos, 0 as "row", xor(b0, b1) as parity from s""")
 def parity_xor_row(spark, sf_dir):
     s = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("pos")).agg(F.min("l_quantity").cast("int").alias("b0"), F.max("l_quantity").cast("int").alias("b1"))
