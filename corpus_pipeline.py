@@ -28,10 +28,16 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of five-word shingle similarity 0.8 or more."""
-    groups = ngram_jaccard.ngram_jaccard_components(docs, width=5, percent=80)
-    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Keeps one row, that of the smallest doc_id (null is the largest), of each group of five-word shingle similarity 0.8 or more; rows without words stay."""
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id is null or n > 1").limit(1).count()
+    rows = docs.withColumn("_row", F.col("doc_id").cast("long"))
+    if odd:
+        #: rows in order of doc_id (nulls last) and text hash, then by all columns, with numbers that rise in this order; equal rows are equal sets of the join
+        order = [F.col("doc_id").asc_nulls_last(), F.xxhash64("text"), *[F.col(c) for c in docs.columns if c != "doc_id"]]
+        rows = Scratch(spark, "pipeline-rows").cut(docs.orderBy(*order).withColumn("_row", F.monotonically_increasing_id()))
+    groups = ngram_jaccard.ngram_jaccard_components(rows.select(F.col("_row").alias("doc_id"), "text"), width=5, percent=80)
+    gone = groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_row")).distinct()
+    return rows.join(gone, "_row", "left_anti").select(docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

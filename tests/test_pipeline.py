@@ -1,0 +1,58 @@
+"""The pipeline's stages against brute force, with nulls, repeated rows and empty tables."""
+
+import itertools
+import random
+
+import corpus_pipeline
+
+SCHEMA = "doc_id long, text string, lang string, n_chars long"
+
+
+def table(spark, rows):
+    return spark.createDataFrame([(i, t, "xx", len(t or "")) for i, t in rows], SCHEMA)
+
+
+def rows_of(df):
+    return sorted(((r.doc_id, r.text) for r in df.collect()), key=repr)
+
+
+def near_groups(rows):
+    """One row of each group, by the smallest (doc_id, null last); rows without words stay."""
+    sets = []
+    for _, t in rows:
+        w = (t or "").encode().lower().split()
+        sets.append(frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) if w else frozenset())
+    group = list(range(len(rows)))
+    for a, b in itertools.combinations(range(len(rows)), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            old, new = group[b], group[a]
+            group = [new if g == old else g for g in group]
+    best = {}
+    for k, g in enumerate(group):
+        key = (rows[k][0] is None, rows[k][0] or 0)
+        if g not in best or key < best[g][0]:
+            best[g] = (key, k)
+    return sorted((rows[k] for _, k in best.values()), key=repr)
+
+
+def near_rows():
+    rng = random.Random(3)
+    text = lambda: " ".join(f"w{rng.randrange(10_000)}" for _ in range(60))
+    a, b, c = text(), text(), text()
+    return a, b, c, a + " more", b + " more"
+
+
+def test_near_duplicates_of_unique_ids(spark):
+    a, b, c, a2, b2 = near_rows()
+    rows = [(1, a), (2, b), (3, a2), (4, c), (5, b2), (6, a), (7, ""), (8, " ")]
+    assert rows_of(corpus_pipeline.near_duplicate_stage(spark, table(spark, rows), "")) == near_groups(rows)
+
+
+def test_near_duplicates_by_row(spark):
+    a, b, c, a2, b2 = near_rows()
+    rows = [(1, a), (5, a2), (5, c), (6, b), (6, b), (None, b2), (None, c + " x"), (7, None), (7, None), (8, "")]
+    want = near_groups(rows)
+    assert (5, c) in want and (6, b) in want and len(want) == 6
+    assert rows_of(corpus_pipeline.near_duplicate_stage(spark, table(spark, rows), "")) == want
+    alone = [(None, a), (None, a), (None, a2 + " y")]
+    assert len(rows_of(corpus_pipeline.near_duplicate_stage(spark, table(spark, alone), ""))) == 1
