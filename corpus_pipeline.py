@@ -9,14 +9,11 @@ from pyspark.sql import functions as F
 from cairn.llm import bpe, decontaminate, language, line_dedup, ngram_jaccard
 from cairn.llm.common import Scratch, table
 
-#: A language must hold at least this share of a document.
-MIN_SHARE = 0.5
-
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a language (null, no letter) or in which no language holds half; lang becomes the predicted one."""
+    """Drops documents without a language (null, no letter); lang becomes the one with the largest share, however many the document holds."""
     found = language.language_id(docs, keep=tuple(c for c in docs.columns if c != "doc_id"))
-    good = found.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SHARE))
+    good = found.where("lang_pred <> 'und'")
     return good.withColumn("lang", F.col("lang_pred")).select(docs.columns)
 
 

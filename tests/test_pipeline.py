@@ -56,3 +56,23 @@ def test_near_duplicates_by_row(spark):
     assert rows_of(corpus_pipeline.near_duplicate_stage(spark, table(spark, rows), "")) == want
     alone = [(None, a), (None, a), (None, a2 + " y")]
     assert len(rows_of(corpus_pipeline.near_duplicate_stage(spark, table(spark, alone), ""))) == 1
+
+
+ALPHABETS = {"one": "abcdef", "two": "mnopqr", "three": "uvwxyz"}
+
+
+def language_rows(rng):
+    make = lambda kind, n: " ".join("".join(rng.choice(ALPHABETS[kind]) for _ in range(5)) for _ in range(n))
+    rows = [(i, make(kind, 40), kind) for i, kind in zip(range(240), itertools.cycle(ALPHABETS))]
+    mixed = make("one", 80) + " " + make("two", 70) + " " + make("three", 50)
+    return [*rows, (900, mixed, "one"), (901, None, "one"), (902, "12 -- 3", "two"), (903, "", "two"), (None, make("two", 40), None), (3, rows[3][1], rows[3][2])]
+
+
+def test_language_stage_keeps_multilingual_documents(spark):
+    rows = language_rows(random.Random(4))
+    docs = spark.createDataFrame([(i, t, lang, len(t or "")) for i, t, lang in rows], SCHEMA)
+    got = corpus_pipeline.language_stage(spark, docs, "")
+    assert got.columns == docs.columns
+    want = [(i, t, "two" if i is None else lang) for i, t, lang in rows if i not in (901, 902, 903)]
+    assert sorted(((r.doc_id, r.text, r.lang) for r in got.collect()), key=repr) == sorted(want, key=repr)
+    assert corpus_pipeline.language_stage(spark, docs.limit(0), "").count() == 0
