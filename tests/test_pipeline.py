@@ -1,9 +1,13 @@
 """The pipeline's stages against brute force, with nulls, repeated rows and empty tables."""
 
+import hashlib
 import itertools
 import random
 
+import public_tokenizers
+
 import corpus_pipeline
+from cairn.llm import bpe
 
 SCHEMA = "doc_id long, text string, lang string, n_chars long"
 
@@ -76,3 +80,84 @@ def test_language_stage_keeps_multilingual_documents(spark):
     want = [(i, t, "two" if i is None else lang) for i, t, lang in rows if i not in (901, 902, 903)]
     assert sorted(((r.doc_id, r.text, r.lang) for r in got.collect()), key=repr) == sorted(want, key=repr)
     assert corpus_pipeline.language_stage(spark, docs.limit(0), "").count() == 0
+
+
+def distance(a, b):
+    p = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        q = [i]
+        for j, y in enumerate(b, 1):
+            q.append(min(p[j] + 1, q[-1] + 1, p[j - 1] + (x != y)))
+        p = q
+    return p[-1]
+
+
+def lines_left(rows):
+    """Texts without repeated lines, in order of doc_id (null first); equal rows are one; emptied documents go."""
+    seen, out = [], {}
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0)):
+        keep, lines = [], [] if t is None else t.split("\n")
+        for x in lines:
+            gone = x in seen if len(x) < 20 else any(len(y) >= 20 and abs(len(x) - len(y)) <= 2 and distance(x, y) <= 2 for y in seen)
+            if not x.strip() or not gone:
+                keep.append(x)
+            seen.append(x)
+        if len(keep) == len(lines) or "".join(keep).strip():
+            out[i, t] = None if t is None else "\n".join(keep)
+    return [(i, out[i, t]) for i, t in rows if (i, t) in out]
+
+
+def digests(rows):
+    enc = bpe.encoding(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    out = []
+    for i, t in rows:
+        ids = enc.encode_ordinary(t or "")
+        out.append((i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    return sorted(out, key=repr)
+
+
+ITEM = "mnopq rmnop qrmno pqrmn opqrm nopqr mmnno ppqqr rrmmn"
+
+
+def corpus():
+    rng = random.Random(9)
+    word = lambda kind: "".join(rng.choice(ALPHABETS[kind]) for _ in range(5))
+    line = lambda kind: " ".join(word(kind) for _ in range(8))
+    common = {k: line(k) for k in ALPHABETS}
+    rows = []
+    for i, kind in zip(range(90), itertools.cycle(ALPHABETS)):
+        rows.append((i, "\n".join([line(kind) for _ in range(4)] + ([common[kind], "abc", ""] if i % 4 == 0 else [])), kind))
+    text = rows[10][1]
+    rows += [(200, common["one"] + "\nabc", "one"), (201, common["one"][:-1], "one"), (202, f"{line('two')} {ITEM} {line('two')}", "two"), (203, None, "two"), (204, "", "one"), (205, "12 -", "one")]
+    rows += [(206, text, "two"), (207, text.replace("\n", " ") + " " + word("two"), "two"), (5, rows[5][1], rows[5][2]), (None, line("two") + "\n" + line("two"), "two")]
+    return rows
+
+
+def clean(rows):
+    return [(i, t) for i, t in rows if ITEM not in (t or "")]
+
+
+def test_each_stage_and_run(spark, tmp_path):
+    full = corpus()
+    rows = [(i, t) for i, t, _ in full]
+    docs = spark.createDataFrame([(i, t, k, len(t or "")) for i, t, k in full], SCHEMA)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, ITEM), (2, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    folder = str(tmp_path)
+    lines = corpus_pipeline.line_stage(spark, docs, folder)
+    assert lines.columns == docs.columns and rows_of(lines) == sorted(lines_left(rows), key=repr)
+    assert all(r.n_chars == (None if r.text is None else len(r.text)) for r in lines.collect())
+    assert rows_of(corpus_pipeline.benchmark_stage(spark, docs, folder)) == sorted(clean(rows), key=repr)
+    assert sorted((tuple(r) for r in corpus_pipeline.token_stage(spark, docs, folder).collect()), key=repr) == digests(rows)
+    known = [(i, t) for i, t in rows if any(c.isalpha() for c in t or "")]
+    want = digests(clean(near_groups(lines_left(known))))
+    got = corpus_pipeline.run(spark, folder)
+    assert sorted((tuple(r) for r in got.collect()), key=repr) == want
+
+
+def test_empty_tables(spark, tmp_path):
+    table(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, table(spark, []), str(tmp_path)).count() == 0
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
