@@ -192,16 +192,20 @@ def kind_totals(entries: DataFrame) -> DataFrame:
     return out.withColumn("kind", F.coalesce("kind", F.lit("TOTAL")))
 
 
-def search(entries: DataFrame, patterns: str, text: str = "", whole: bool = False, limit: int = 100_000) -> DataFrame:
-    """Rows whose name fits one of the patterns (split at ; or ,) and holds the text; truncated tells of more than limit."""
+def search(entries: DataFrame, patterns: str, text: str = "", whole: bool = False, limit: int | None = 100_000) -> DataFrame:
+    """Rows whose name fits one of the patterns (split at ; or ,) and holds the text: all of them where limit is None, else the first
+    limit ones in order with truncated, which tells of more."""
     name = F.lower(S.base_name(F.col("path")))
     list_ = [p.strip() for p in patterns.replace(",", ";").split(";") if p.strip()]
     fits: Column = F.lit(not list_)
     for p in list_:
         fits = fits | F.rlike(name, S.wildcard_regex(F.lit(p)))
     has = (name == text.lower()) if whole else F.contains(name, F.lit(text.lower()))
-    found = entries.where(fits & (has | F.lit(text == ""))).orderBy(*KEY).limit(limit + 1)
-    return found.select(*KEY, "size")
+    found = entries.where(fits & (has | F.lit(text == ""))).select(*KEY, "size")
+    if limit is None:
+        return found
+    some = found.orderBy(*KEY).limit(limit + 1)
+    return some.orderBy(*KEY).limit(limit).crossJoin(F.broadcast(some.agg((F.count(F.lit(1)) > limit).alias("truncated"))))
 
 
 def type_ahead(entries: DataFrame, needle: str) -> DataFrame:

@@ -164,7 +164,7 @@ def catalog_tree(spark, sf_dir):
 
 @query(f"with {E_SQL} select archive_id, path, size from e where (regexp_matches(lower(path), '/f1[^/]*\\.txt$') or regexp_matches(lower(path), '/[^/]*\\.json$')) and contains(lower(regexp_extract(path, '[^/]*$')), '9')")
 def catalog_search(spark, sf_dir):
-    return C.search(entries(spark, sf_dir), "F1*.txt; *.json", "9")
+    return C.search(entries(spark, sf_dir), "F1*.txt; *.json", "9", limit=None)
 
 
 @query(f"""with {E_SQL}, r as (select archive_id, path, lower(regexp_extract(path, '[^/]*$')) as name from e),
