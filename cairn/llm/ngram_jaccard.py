@@ -1,11 +1,12 @@
 """N-gram Jaccard join by vertical partitioning.
 
-The n-gram hashes are cut into V vertical fragments of equal width. Each fragment, a task of its own, counts in how
-many sets its n-grams occur; n-grams of one set can overlap with nothing and go no further. The rest order
-the n-grams globally, rarest first, and two linked sets of n n-grams share one of the first n - ceil(t n) + 1 of each;
-a set publishes those that others hold too. Sets that share a published n-gram form classes, and these are counted
-exactly: each block of a class cuts the order into fragments again, counts the partial overlaps of
-all its pairs in each fragment, sums them per pair, and only a spanning forest of the links leaves the task.
+The global order of the n-gram hashes is cut into vertical fragments. Each fragment counts in how many sets its n-grams occur;
+n-grams of one set can overlap with nothing and go no further. The others are ordered rarest first, and two linked
+sets of n n-grams share one of the first n - ceil(t n) + 1 of each; sets that share such an n-gram form classes.
+The sets of a class meet fragment by fragment: each fragment counts, on its own, the partial overlaps of the pairs of a block
+of sets, and these are summed per pair over the fragments before a pair is held against the threshold. Only a spanning forest of the links
+leaves a block. N-grams that are very common in many batches are last in the order whatever their count, so they need no counting,
+and their occurrences are dealt over many tasks by a salt.
 """
 
 from __future__ import annotations
@@ -23,12 +24,20 @@ from cairn.llm.common import Scratch, connected_components, skew_left_join, smal
 
 #: N-grams that a vertical fragment of the counting step holds on average.
 COUNTED = 1 << 20
-#: Leading bytes of a hash that are counted; a chance collision only makes an n-gram look more common.
+#: Leading bytes of a hash that stand for an n-gram: counts, prefixes and overlaps are exact up to collisions of 48-bit hashes.
 PREFIX = 6
-#: Sets and n-grams in a block of a class; a larger class is cut into a grid of block pairs.
-BLOCK_SETS, BLOCK_GRAMS = 512, 1 << 20
-#: N-grams of a vertical fragment that are counted at a time.
-FRAGMENT = 4096
+#: Sets in a block of a class; a larger class is compared with its first set by blocks, then the rest block by block.
+BLOCK_SETS = 120
+#: N-grams of a block of sets in a vertical fragment, about; columns of a fragment that are counted at a time.
+FRAGMENT_GRAMS, COLUMNS = 1 << 17, 4096
+#: Vertical fragments that the overlaps of a block are counted in, at least (a power of two).
+CUTS = 4
+#: An n-gram in one of so many rows of a batch, and at least in HEAVY_ROWS, is heavy there; one that is heavy in a batch of HOT_BATCHES is hot.
+HEAVY_SHARE, HEAVY_ROWS, HOT_BATCHES = 64, 16, 20
+#: Hot n-grams that are sent to all tasks at most (those of the most batches); the others are counted like any.
+HOT_GRAMS = 100_000
+#: Stands for the count of a hot n-gram.
+HOT_DF = 1 << 40
 #: Copies from which a class is joined as a hot key.
 HOT_COPIES = 1000
 
@@ -93,37 +102,67 @@ def fingerprint(h: np.ndarray) -> tuple[int, int]:
     return tuple(int(_mix(h * m).sum().view(np.int64)) for m in (_MULT[5], _MULT[7])) if len(h) else (0, 0)
 
 
-def _features(width: int):
+def heads(h: np.ndarray) -> np.ndarray:
+    """The leading bytes of sorted hashes, distinct, as longs."""
+    return np.unique((h >> np.uint64(64 - 8 * PREFIX)).view(np.int64))
+
+
+def heavy(grams: list[np.ndarray], least: int) -> np.ndarray:
+    """N-grams that at least so many of the sets hold; a first count over hash buckets leaves few to sort."""
+    g = np.concatenate([*grams, np.zeros(0, np.int64)])
+    bucket = g & ((1 << 20) - 1)
+    g = g[np.bincount(bucket, minlength=1 << 20)[bucket] >= least] if len(g) else g
+    value, count = np.unique(g, return_counts=True)
+    return value[count >= least]
+
+
+def _features(width: int, heavy_rows: int):
+    """A row per document; the first row of a batch names the batch's heavy n-grams."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            if not b.num_rows:
+                continue
             sets = [shingles(x.as_py(), width) for x in b.column("data")]
-            one, two = zip(*map(fingerprint, sets), strict=True) if sets else ((), ())
+            one, two = zip(*map(fingerprint, sets), strict=True)
+            grams = [heads(h) for h in sets]
+            common = [heavy(grams, max(heavy_rows, b.num_rows // HEAVY_SHARE)).tolist(), *[None] * (len(sets) - 1)]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), *(pa.array(x, pa.int64()) for x in ([len(h) for h in sets], one, two))], names=["doc_id", "n_shingles", "fp1", "fp2"]
+                [b.column("doc_id"), *(pa.array(x, pa.int64()) for x in ([len(h) for h in sets], [len(g) for g in grams], one, two)), pa.array(common, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "n_heads", "fp1", "fp2", "heavy"],
             )
 
     return run
 
 
-def _cut(width: int, fragments: int):
-    """For each batch and vertical fragment one row: the sets, and which of them holds which n-gram."""
+def _cut(width: int, bits: int, hot):
+    """For each batch and vertical fragment one row: the sets, and which of them holds which n-gram. Hot n-grams go to a salt instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = hot.value
         for whole in batches:
             for low in range(0, whole.num_rows, 2048):
-                sets = [shingles(x.as_py(), width) for x in whole.column("data").slice(low, 2048)]
-                names = np.array([fingerprint(h)[0] for h in sets], np.int64)
-                h = np.concatenate([*sets, np.zeros(0, np.uint64)])
-                owner = np.repeat(np.arange(len(sets), dtype=np.uint16), [len(x) for x in sets])
-                order = np.argsort(h)
-                h, owner = h[order], owner[order]
-                edges = np.searchsorted(((h >> np.uint64(32)) * np.uint64(fragments)) >> np.uint64(32), np.arange(fragments + 1, dtype=np.uint64))
-                head = np.ascontiguousarray((h >> np.uint64(64 - 8 * PREFIX)).view(np.uint8).reshape(-1, 8)[:, :PREFIX])
-                rows = [(v, a, z) for v, (a, z) in enumerate(zip(edges[:-1], edges[1:], strict=True)) if a < z]
+                sets: dict[int, np.ndarray] = {}
+                for x in whole.column("data").slice(low, 2048):
+                    h = shingles(x.as_py(), width)
+                    sets.setdefault(fingerprint(h)[0], h)  # copies count once
+                names = np.array(list(sets), np.int64)
+                grams = [heads(h) for h in sets.values()]
+                g = np.concatenate([*grams, np.zeros(0, np.int64)])
+                owner = np.repeat(np.arange(len(grams), dtype=np.uint16), [len(x) for x in grams])
+                v = g >> (8 * PREFIX - bits)
+                if len(known) and len(g):
+                    salt = (1 << bits) + int(_mix(names[:1].view(np.uint64))[0] >> np.uint64(64 - bits))
+                    v[known[np.searchsorted(known, g).clip(max=len(known) - 1)] == g] = salt
+                order = np.lexsort((g, v))
+                g, owner, v = g[order], owner[order], v[order]
+                edge = np.flatnonzero(np.diff(v, prepend=-1))
+                head = np.ascontiguousarray(g).view(np.uint8).reshape(-1, 8)[:, :PREFIX]
+                rows = list(zip(v[edge].tolist(), edge.tolist(), [*edge[1:].tolist(), len(g)], strict=True)) if len(g) else []
                 if rows:
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([v for v, _, _ in rows], pa.int32()),
+                            pa.array([i for i, _, _ in rows], pa.int64()),
                             pa.array([names[np.unique(owner[a:z])].tobytes() for _, a, z in rows], pa.binary()),
                             pa.array([np.unique(owner[a:z], return_inverse=True)[1].astype(np.uint16).tobytes() for _, a, z in rows], pa.binary()),
                             pa.array([head[a:z].tobytes() for _, a, z in rows], pa.binary()),
@@ -134,67 +173,86 @@ def _cut(width: int, fragments: int):
     return run
 
 
-def _count(t: pa.Table) -> pa.Table:
-    """The n-grams of a vertical fragment that several sets hold: set, n-gram and in how many sets it is."""
-    grams, names = [], []
-    for sets, owner, head in zip(*(t.column(c).to_pylist() for c in ("sets", "owner", "grams")), strict=True):
-        wide = np.zeros((len(head) // PREFIX, 8), np.uint8)
-        wide[:, :PREFIX] = np.frombuffer(head, np.uint8).reshape(-1, PREFIX)
-        grams.append(wide.view(np.int64).ravel())
-        names.append(np.frombuffer(sets, np.int64)[np.frombuffer(owner, np.uint16)])
-    g, s = np.concatenate(grams), np.concatenate(names)
-    order = np.lexsort((s, g))
-    g, s = g[order], s[order]
-    first = np.ones(len(g), bool)
-    first[1:] = (g[1:] != g[:-1]) | (s[1:] != s[:-1])  # equal sets count once
-    g, s = g[first], s[first]
-    edge = np.flatnonzero(np.diff(g, prepend=g[0] - 1))
-    size = np.diff(np.append(edge, len(g)))
-    df = np.repeat(size, size)
-    many = df > 1
-    return pa.table({"fp1": pa.array(s[many]), "df": pa.array(df[many].astype(np.int64)), "gram": pa.array(g[many])})
-
-
-def _sets(width: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingles(x.as_py(), width).tobytes() for x in b.column("data")]
-            yield pa.RecordBatch.from_arrays(
-                [b.column("id"), b.column("class_id"), b.column("grid"), pa.array(sets, pa.binary())], names=["id", "class_id", "grid", "grams"]
-            )
+_PART = pa.list_(pa.struct([("df", pa.int64()), ("gram", pa.int64())]))
+
+
+def _count(bits: int):
+    """The n-grams of a vertical fragment that several sets hold: a row per set with each n-gram and in how many sets it is."""
+
+    def run(t: pa.Table) -> pa.Table:
+        grams, names = [], []
+        for sets, owner, head in zip(*(t.column(c).to_pylist() for c in ("sets", "owner", "grams")), strict=True):
+            wide = np.zeros((len(head) // PREFIX, 8), np.uint8)
+            wide[:, :PREFIX] = np.frombuffer(head, np.uint8).reshape(-1, PREFIX)
+            grams.append(wide.view(np.int64).ravel())
+            names.append(np.frombuffer(sets, np.int64)[np.frombuffer(owner, np.uint16)])
+        g, s = np.concatenate(grams), np.concatenate(names)
+        order = np.lexsort((s, g))
+        g, s = g[order], s[order]
+        first = np.ones(len(g), bool)
+        first[1:] = (g[1:] != g[:-1]) | (s[1:] != s[:-1])  # equal sets of other batches count once
+        g, s = g[first], s[first]
+        if t.column("v")[0].as_py() >> bits:
+            df = np.full(len(g), HOT_DF)
+        else:
+            size = np.diff(np.append(np.flatnonzero(np.diff(g, prepend=-1)), len(g)))
+            df = np.repeat(size, size)
+            g, s, df = g[df > 1], s[df > 1], df[df > 1]
+        v = g >> (8 * PREFIX - bits)
+        order = np.lexsort((v, s))
+        g, s, df, v = g[order], s[order], df[order], v[order]
+        edge = np.flatnonzero((np.diff(s, prepend=0) != 0) | (np.diff(v, prepend=-1) != 0))
+        part = pa.ListArray.from_arrays(pa.array([*edge, len(g)], pa.int32()), pa.StructArray.from_arrays([pa.array(df, pa.int64()), pa.array(g, pa.int64())], names=["df", "gram"]))
+        return pa.table({"fp1": pa.array(s[edge], pa.int64()), "v": pa.array(v[edge], pa.int64()), "part": part.cast(_PART)})
 
     return run
 
 
-def partial_overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """Overlap of every pair of sets, summed over vertical fragments of the global order."""
-    order, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    shared = np.bincount(inverse) > 1  # an n-gram of one set adds to no overlap
-    total = np.zeros((len(sets), len(sets)), np.float32 if len(order) < 1 << 24 else np.float64)
-    rank = np.cumsum(shared) - 1
-    keep = shared[inverse]
-    column, row = rank[inverse[keep]], owner[keep]
+def partial_overlaps(owner: np.ndarray, grams: np.ndarray, sets: int) -> np.ndarray:
+    """Overlap of every pair of sets in one vertical fragment; owner and grams say which set holds which n-gram."""
+    order, column = np.unique(grams, return_inverse=True)
+    total = np.zeros((sets, sets), np.float32 if len(order) < 1 << 24 else np.float64)
     by = np.argsort(column, kind="stable")
-    column, row = column[by], row[by]
-    for low in range(0, int(shared.sum()), FRAGMENT):
-        a, b = np.searchsorted(column, [low, low + FRAGMENT])
-        x = np.zeros((len(sets), FRAGMENT), np.float32)
-        x[row[a:b], column[a:b] - low] = 1
+    column, row = column[by], owner[by]
+    for low in range(0, len(order), COLUMNS):
+        a, z = np.searchsorted(column, [low, low + COLUMNS])
+        x = np.zeros((sets, min(COLUMNS, len(order) - low)), np.float32)
+        x[row[a:z], column[a:z] - low] = 1
         total += x @ x.T
     return total
 
 
+_GROUP = ["class_id", "bi", "bj"]
+
+
+def _partial(t: pa.Table) -> pa.Table:
+    """Of a block of sets in one vertical fragment: its sets, their sizes and the partial overlap of every pair, as one row."""
+    part = t.column("part").combine_chunks()
+    grams = part.flatten().field("gram").to_numpy(zero_copy_only=False)
+    sets, at, owner = np.unique(t.column("fp1").to_numpy(), return_index=True, return_inverse=True)
+    both = partial_overlaps(np.repeat(owner, np.diff(part.offsets.to_numpy())), grams, len(sets))
+    data = {"sets": sets.tobytes(), "ids": t.column("id").to_numpy()[at].tobytes(), "sizes": t.column("n").to_numpy()[at].tobytes(), "overlaps": np.rint(both).astype("<u4").tobytes()}
+    return pa.table({**{c: t.column(c).slice(0, 1) for c in _GROUP}, **{k: pa.array([v], pa.binary()) for k, v in data.items()}})
+
+
 def _links(percent: int):
+    """Sums the partial overlaps of a block's fragments per pair; a spanning forest of the pairs that link."""
+
     def run(t: pa.Table) -> pa.Table:
-        ids = t.column("id").to_numpy()
-        sets = [np.frombuffer(x, np.uint64) for x in t.column("grams").to_pylist()]
-        both = np.rint(partial_overlaps(sets)).astype(np.int64)
-        n = np.array([len(s) for s in sets])
+        parts = [
+            (*(np.frombuffer(x, np.int64) for x in (s, i, n)), np.frombuffer(o, "<u4").reshape(len(s) // 8, -1))
+            for s, i, n, o in zip(*(t.column(c).to_pylist() for c in ("sets", "ids", "sizes", "overlaps")), strict=True)
+        ]
+        sets, first = np.unique(np.concatenate([x[0] for x in parts]), return_index=True)
+        ids, n = (np.concatenate([x[k] for x in parts])[first] for k in (1, 2))
+        both = np.zeros((len(sets), len(sets)), np.int64)
+        for s, _, _, o in parts:
+            at = np.searchsorted(sets, s)
+            both[np.ix_(at, at)] += o
+        order = np.argsort(ids, kind="stable")
+        ids, n, both = ids[order], n[order], both[np.ix_(order, order)]
         linked = 100 * both >= percent * (n[:, None] + n[None, :] - both)
         np.fill_diagonal(linked, True)
-        order = np.argsort(ids, kind="stable")
-        ids, linked = ids[order], linked[np.ix_(order, order)]
         label = np.arange(len(ids))
         while True:
             new = np.where(linked, label[None, :], len(ids)).min(axis=1)
@@ -202,12 +260,60 @@ def _links(percent: int):
             if (new == label).all():
                 break
             label = new
-        away = label != np.arange(len(ids))
+        away = ids != ids[label]
         return pa.table({"src": pa.array(ids[away], pa.int64()), "dst": pa.array(ids[label[away]], pa.int64())})
 
     return run
 
 
+def _block_links(common: DataFrame, dealt: DataFrame, n_dealt: int, bits: int, percent: int) -> DataFrame:
+    """Links inside blocks. dealt says which set (fp1, id, n) is in which block (class_id, bi, bj) and how many fragments it has (cuts)."""
+    rows = common.join(small(dealt, n_dealt), "fp1")
+    #: contiguous fragments of the order meet in the cut of their block
+    cut = F.floor(F.col("v") * F.col("cuts") / (1 << bits))
+    rows = rows.select(*_GROUP, cut.alias("cut"), "fp1", "id", "n", "part")
+    partial = rows.groupBy(*_GROUP, "cut").applyInArrow(_partial, "class_id long, bi int, bj int, sets binary, ids binary, sizes binary, overlaps binary")
+    return partial.groupBy(*_GROUP).applyInArrow(_links(percent), "src long, dst long")
+
+
+def _class_links(common: DataFrame, members: DataFrame, bits: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(src, dst): a spanning forest of the links of every class; members are (fp1, id, n, class_id, sets, grams).
+
+    A small class is one block. Of a large one every block meets the class's first set; sets linked with it there are one component
+    already, and only the rest meets the whole class, block by block.
+    """
+
+    def cuts(grams):
+        return F.greatest(F.lit(CUTS), F.pow(2, F.ceil(F.log2(F.greatest(grams / FRAGMENT_GRAMS, F.lit(1))))).cast("long"))
+
+    def own(count):
+        return F.pmod(F.xxhash64("id"), count).cast("int")
+
+    base = ["fp1", "id", "n"]
+    large, blocks = F.col("sets") > BLOCK_SETS, F.ceil(F.col("sets") / BLOCK_SETS).cast("int")
+    every = F.sequence(F.lit(0), blocks - 1)
+    where = F.when(~large, F.array(F.lit(0))).when(F.col("id") == F.col("class_id"), every).otherwise(F.array(own(blocks)))
+    first = members.select(*base, "class_id", F.when(large, -1).otherwise(0).alias("bi"), F.explode(where).alias("bj"), cuts(F.col("grams") / blocks).alias("cuts"))
+    first = scratch.cut(first)
+    links = scratch.cut(_block_links(common, first, first.count(), bits, percent))
+    wide = scratch.cut(members.where(large))
+    n_wide = wide.count()
+    if not n_wide:
+        return links
+    near = links.select(F.col("src").alias("id"), F.col("dst").alias("class_id")).distinct().withColumn("done", F.lit(True))
+    wide = wide.join(near, ["id", "class_id"], "left").withColumn("done", F.coalesce("done", F.col("id") == F.col("class_id")))
+    wide = scratch.cut(wide)
+    split = wide.groupBy("class_id").agg(F.sum(F.when(~F.col("done"), 1)).alias("rest"), F.sum(F.when(F.col("done"), 1)).alias("known")).where("rest > 0")
+    split = split.select("class_id", F.ceil(F.col("rest") / BLOCK_SETS).cast("int").alias("gu"), F.ceil(F.col("known") / BLOCK_SETS).cast("int").alias("gr"))
+    left = wide.join(split, "class_id")
+    mine = F.when(F.col("done"), F.col("gu") + own(F.col("gr"))).otherwise(own(F.col("gu")))
+    other = F.when(F.col("done"), F.sequence(F.lit(0), F.col("gu") - 1)).otherwise(F.sequence(F.lit(0), F.col("gu") + F.col("gr") - 1))
+    left = left.withColumn("mine", mine).withColumn("other", F.explode(other))
+    second = left.select(*base, "class_id", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), cuts(2 * F.col("grams") / blocks).alias("cuts"))
+    second = scratch.cut(second)
+    return links.union(scratch.cut(_block_links(common, second, second.count(), bits, percent)))
+
+
 def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text, ...).
 
@@ -217,37 +323,42 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80)
     Nulls and empty texts: n_shingles 0, component_id is the row's own doc_id (null for a null doc_id).
     Rows with a null doc_id are counted but not linked: their component_id is null. Repeated rows give
     one row each; classes of equal sets whose smallest doc_id is the same are one node. Extra columns
-    are ignored; an empty table gives an empty result.
+    are ignored, whatever their names; an empty table gives an empty result. Whole texts are read however long; sets are
+    compared by 48-bit hashes of their n-grams.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram-join")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("data"))
-    features = scratch.cut(text.mapInArrow(_features(width), "doc_id long, n_shingles long, fp1 long, fp2 long"))
+    features = scratch.cut(text.mapInArrow(_features(width, HEAVY_ROWS), "doc_id long, n_shingles long, n_heads long, fp1 long, fp2 long, heavy array<long>"))
     real = features.where("doc_id is not null and n_shingles > 0")
-    fragments = max(1, math.ceil((real.agg(F.sum("n_shingles")).first()[0] or 0) / COUNTED))
-    cut = text.where("doc_id is not null and data is not null").mapInArrow(_cut(width, fragments), "v int, sets binary, owner binary, grams binary")
-    common = cut.groupBy("v").applyInArrow(_count, "fp1 long, df long, gram long")
+    batches = features.where("heavy is not null")
+    least = max(2, math.ceil(batches.count() / HOT_BATCHES))
+    hot = batches.select(F.explode("heavy").alias("g")).groupBy("g").count().where(F.col("count") >= least).orderBy(F.desc("count"), "g").limit(HOT_GRAMS)
+    hot = spark.sparkContext.broadcast(np.array(sorted(r.g for r in hot.collect()), np.int64))
+    bits = max(CUTS.bit_length() - 1, math.ceil(math.log2(max(1, (real.agg(F.sum("n_shingles")).first()[0] or 0) / COUNTED))))
+    cut = text.where("doc_id is not null and data is not null").mapInArrow(_cut(width, bits, hot), "v long, sets binary, owner binary, grams binary")
+    common = scratch.cut(cut.groupBy("v").applyInArrow(_count(bits), "fp1 long, v long, part array<struct<df:long,gram:long>>"))
     #: equal sets are one class; partial aggregation collapses a hot group of copies before the shuffle
-    reps = scratch.cut(real.groupBy("fp1", "fp2", "n_shingles").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")))
-    known = common.groupBy("fp1").agg(F.sort_array(F.collect_list(F.struct("df", "gram"))).alias("grams")).join(reps.select("fp1", "n_shingles", "id"), "fp1")
+    reps = scratch.cut(real.groupBy("fp1", "fp2", "n_shingles", "n_heads").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")))
+    grams = F.flatten(F.collect_list("part"))
+    #: a hot n-gram comes from every batch that holds a copy of the set
+    grams = F.sort_array(F.array_distinct(grams) if len(hot.value) else grams)
+    known = common.groupBy("fp1").agg(grams.alias("grams")).join(reps.select("fp1", "n_shingles", "n_heads", "id"), "fp1")
     n = F.col("n_shingles")
-    #: of the first n - ceil(t n) + 1 n-grams in the order, n - size(grams) are held by no other set
-    take = n - F.ceil(n * percent / 100) + 1 - (n - F.size("grams"))
+    #: of the first n - ceil(t n) + 1 n-grams in the order, n_heads - size(grams) are held by no other set
+    take = n - F.ceil(n * percent / 100) + 1 - (F.col("n_heads") - F.size("grams"))
     keys = known.where(take > 0).select("id", F.explode(F.slice("grams", F.lit(1), take.cast("int"))).alias("g")).select("id", F.col("g.gram").alias("key"))
-    shared = keys.withColumn("leader", F.min("id").over(Window.partitionBy("key"))).where("id <> leader")
+    keys = scratch.cut(keys)
+    leaders = scratch.cut(keys.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    shared = skew_left_join(keys, leaders, ["key"], F.col("n") >= HOT_COPIES, ["id"]).where("id <> leader")
     classes = scratch.cut(connected_components(shared.select(F.col("id").alias("src"), F.col("leader").alias("dst")), scratch))
     count = classes.count()
-    sizes = real.select(F.col("doc_id").alias("id"), "n_shingles").join(small(classes, count), "id").groupBy("component").agg(
-        F.countDistinct("id").alias("sets"), F.sum("n_shingles").alias("grams")
-    )
-    grid = F.greatest(F.ceil(F.col("sets") / BLOCK_SETS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
-    members = scratch.cut(classes.join(sizes, "component").select("id", F.col("component").alias("class_id"), grid.alias("grid")))
-    data = text.withColumnRenamed("doc_id", "id").join(small(members, count), "id").select("id", "class_id", "grid", "data")
-    sets = data.mapInArrow(_sets(width), "id long, class_id long, grid int, grams binary")
-    own = F.pmod(F.xxhash64("id"), F.col("grid")).cast("int")
-    blocks = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("grid") - 1)))
-    blocks = blocks.select("id", "class_id", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "grams")
-    links = scratch.cut(blocks.groupBy("class_id", "bi", "bj").applyInArrow(_links(percent), "src long, dst long"))
+    members = reps.select("fp1", "id", n.alias("n")).join(small(classes, count).withColumnRenamed("component", "class_id"), "id")
+    sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("grams"))
+    members = scratch.cut(members.join(sizes, "class_id"))
+    links = scratch.cut(_class_links(common, members, bits, percent, scratch))
+    scratch.free(common)
+    scratch.free(keys)
     found = scratch.cut(connected_components(links, scratch))
     reached = small(found, found.count())
     ids = reps.withColumnRenamed("id", "rep").join(reached.withColumnRenamed("id", "rep"), "rep", "left").select(

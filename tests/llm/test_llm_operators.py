@@ -34,9 +34,14 @@ def near_copies(seed=3, n=60):
     return [*rows, (500, None), (501, ""), (502, " \n"), (503, rows[0][1].upper()), (503, rows[0][1].upper()), (None, rows[1][1])]
 
 
-@pytest.mark.parametrize("width,percent", [(3, 90), (5, 80)])
-def test_ngram_join(spark, width, percent):
-    rows = near_copies()
+@pytest.mark.parametrize("width,percent,blocks", [(3, 90, False), (5, 80, False), (3, 90, True), (2, 60, True)])
+def test_ngram_join(spark, monkeypatch, width, percent, blocks):
+    """With blocks: classes of many blocks, many fragments, small batches with hot n-grams."""
+    rows = near_copies(n=150 if blocks else 60)
+    if blocks:
+        for name, value in (("BLOCK_SETS", 5), ("HEAVY_ROWS", 2), ("COUNTED", 64), ("FRAGMENT_GRAMS", 16), ("HOT_COPIES", 2)):
+            monkeypatch.setattr(ngram_jaccard, name, value)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "16")
 
     def grams(t):
         w = (t or "").encode().lower().split()
@@ -50,11 +55,27 @@ def test_ngram_join(spark, width, percent):
             if n and 100 * n >= percent * len(sets[a] | sets[b]):
                 root[a] = root[b] = min(root[a], root[b])
     got = ngram_jaccard.ngram_jaccard_components(frame(spark, rows), width, percent).collect()
+    spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert len(got) == len(rows)
     assert all(r.component_id == (None if r.doc_id is None else root[r.doc_id]) for r in got)
     assert all(r.n_shingles == len(sets[r.doc_id]) for r in got if r.doc_id is not None)
 
 
+def test_ngram_join_of_repeated_ids(spark):
+    a, b = " ".join(f"a{i}" for i in range(50)), " ".join(f"b{i}" for i in range(50))
+    rows = [(7, a), (7, b), (8, a + " x"), (9, b + " y"), (5, "x y z"), (None, a)]
+    got = sorted((r.doc_id or 0, r.n_shingles, r.component_id or 0) for r in ngram_jaccard.ngram_jaccard_components(frame(spark, rows), 3, 90).collect())
+    assert got == [(0, 48, 0), (5, 1, 5), (7, 48, 7), (7, 48, 7), (8, 49, 7), (9, 49, 7)]
+
+
+def test_partial_overlaps_sum_to_overlaps():
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.integers(0, 60, 40)) for _ in range(9)]
+    owner, grams = np.repeat(np.arange(9), [len(x) for x in sets]), np.concatenate(sets)
+    parts = [ngram_jaccard.partial_overlaps(owner[grams % 3 == k], grams[grams % 3 == k], 9) for k in range(3)]
+    assert (sum(parts) == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]).all()
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_jaccard.ngram_jaccard_components(frame(spark, [])).count() == 0
 
