@@ -140,7 +140,8 @@ def format_chats(conversations: DataFrame) -> DataFrame:
     action: keep, relabel, merge (continues the turn before) or insert (an empty turn). Joining rendered in order gives the chat text.
     Turns are ordered by (turn, role, text), nulls first; repeated rows are turns of their own. A null or unknown role
     can take any label at the cost of a relabelling; common other names of roles are known. Null text is empty. Rows with a
-    null conv_id are one conversation. An empty table gives an empty result; extra columns are ignored.
+    null conv_id are one conversation. An empty table gives an empty result; extra columns are ignored, whatever their names. Texts of any
+    length and conversations of any number of turns are repaired whole.
     """
     scratch = Scratch(conversations.sparkSession, "chat")
     src = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))

@@ -15,16 +15,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quote(name: str) -> str:
+    """A column name as one identifier, whatever it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none (tests), one is set here."""
+    """The folder that driver and executors share: the session's spark.checkpoint.dir.
+
+    Where none is set, one is set here for a local session (tests); on a cluster that raises, since a machine-local folder would be lost.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no folder that driver and executors share")
         base = f"file:///tmp/checkpoints/cairn-{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(base)
         base = spark.sparkContext.getCheckpointDir() or base
     return base.rstrip("/")
 
 
+#: Folders of all operator runs of this process.
+_roots: set[str] = set()
+
+
+def sweep(spark: SparkSession) -> int:
+    """Deletes the intermediate tables, archives and token files of all operator runs so far; call it when their results have been written."""
+    n = len(_roots)
+    while _roots:
+        delete(spark, _roots.pop())
+    return n
+
+
 class Scratch:
     """Intermediate tables of one operator run, written as Parquet in the shared folder.
 
@@ -34,6 +64,7 @@ class Scratch:
     def __init__(self, spark: SparkSession, tag: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
+        _roots.add(self.root)
         self.n = 0
         self.paths: dict[int, str] = {}
 

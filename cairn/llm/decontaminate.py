@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import Scratch, small
+from cairn.llm.common import Scratch, fresh, quote, small
 
 #: Words in a window.
 WINDOW = 8
@@ -43,25 +43,29 @@ def template_words(text: Column) -> Column:
     return _split(F.lower(t))
 
 
-def window_keys(words: Column, window: int) -> Column:
-    """Hash of every window; fewer words are one window, no word none."""
-    n = F.size(words)
-    many = F.transform(F.sequence(F.lit(1), n - window + 1), lambda i: F.xxhash64(F.slice(words, i, window)))
-    return F.when(n >= window, many).when((n > 1) | (F.get(words, F.lit(0)) != ""), F.array(F.xxhash64(words))).otherwise(F.array().cast("array<long>"))
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def exact_keys(words: Column, sizes: list[int]) -> Column:
+def window_keys(hashes: Column, window: int) -> Column:
+    """Hash of every window of words, from the hashes of the words; fewer words are one window, no word none."""
+    n = F.size(hashes)
+    many = F.transform(F.sequence(F.lit(1), n - window + 1), lambda i: F.xxhash64(F.slice(hashes, i, window)))
+    return F.when(n >= window, many).when((n > 1) | (F.get(hashes, F.lit(0)) != F.xxhash64(F.lit(""))), F.array(F.xxhash64(hashes))).otherwise(F.array().cast("array<long>"))
+
+
+def exact_keys(hashes: Column, sizes: list[int]) -> Column:
     """Hash of every run of words of each size, apart from those of window_keys; none where the words are fewer."""
 
     def runs(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
-        return F.when(F.size(words) >= n, F.transform(starts, lambda i: _exact_key(F.slice(words, i, n)))).otherwise(F.array().cast("array<long>"))
+        starts = F.sequence(F.lit(1), F.greatest(F.size(hashes) - n + 1, F.lit(1)))
+        return F.when(F.size(hashes) >= n, F.transform(starts, lambda i: _exact_key(F.slice(hashes, i, n)))).otherwise(F.array().cast("array<long>"))
 
     return F.concat(*map(runs, sizes))
 
 
-def _exact_key(words: Column) -> Column:
-    return F.xxhash64(F.lit("exact"), F.size(words), words)
+def _exact_key(hashes: Column) -> Column:
+    return F.xxhash64(F.lit("exact"), F.size(hashes), hashes)
 
 
 def _is_slot(word: Column) -> Column:
@@ -74,25 +78,25 @@ def contaminated_pairs(docs: DataFrame, benchmark: DataFrame, window: int = WIND
     The row key is a struct of doc_id and a hash of the text.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate")
-    items = benchmark.where("text is not null").select("item_id", template_words(F.col("text")).alias("t"), plain_words(F.col("text")).alias("p"))
-    items = items.select("item_id", "t", "p", F.posexplode(window_keys(F.col("t"), window)).alias("at", "key"))
+    items = benchmark.where("text is not null and item_id is not null").select("item_id", template_words(F.col("text")).alias("t"), plain_words(F.col("text")).alias("p"))
+    items = items.select("item_id", "t", "p", F.posexplode(window_keys(word_hashes(F.col("t")), window)).alias("at", "key"))
     words, own = F.slice("t", F.col("at") + 1, window), F.slice("p", F.col("at") + 1, window)
     items = items.withColumn("slots", F.size(F.filter(words, _is_slot)))
     mostly = 2 * F.col("slots") > F.size(words)
     items = scratch.cut(items.select("item_id", "at", "key", "slots", own.alias("own"), F.transform(words, _is_slot).alias("mask"), mostly.alias("mostly"), (F.size("t") < window).alias("brief")))
     #: a window of slots says nothing as a template, and a brief item none of longer texts: these are sought word for word
-    exact = scratch.cut(items.where("mostly or brief").select("item_id", "at", _exact_key(F.transform("own", F.lower)).alias("key"), F.size("own").alias("n")))
+    exact = scratch.cut(items.where("mostly or brief").select("item_id", "at", _exact_key(F.transform("own", lambda w: F.xxhash64(F.lower(w)))).alias("key"), F.size("own").alias("n")))
     sizes = sorted(r.n for r in exact.select("n").distinct().collect())
     every = items.groupBy("item_id").agg(F.countDistinct("at").alias("n_all"))
     items = items.where("not mostly")
     size = items.count() + exact.count()
     row = F.struct(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t")).alias("row")
     rows = docs.where("text is not null").select(row, template_words(F.col("text")).alias("t"), *([F.transform(plain_words(F.col("text")), F.lower).alias("p")] if sizes else []))
-    #: binds the words once for all windows of a text
-    keys = F.flatten(F.transform(F.array(F.col("t")), lambda w: window_keys(w, window)))
+    #: binds the hashes of the words once for all windows of a text
+    keys = F.flatten(F.transform(F.array(word_hashes(F.col("t"))), lambda h: window_keys(h, window)))
     if sizes:
         #: after the windows of the template, so that those keep their places
-        keys = F.concat(keys, F.flatten(F.transform(F.array(F.col("p")), lambda w: exact_keys(w, sizes))))
+        keys = F.concat(keys, F.flatten(F.transform(F.array(word_hashes(F.col("p"))), lambda h: exact_keys(h, sizes))))
     seen = rows.select("row", F.posexplode(keys).alias("pos", "key"))
     sought = items.select("key", "item_id", "at", "slots", F.lit(False).alias("exact"))
     sought = sought.union(exact.select("key", "item_id", "at", F.lit(0), F.lit(True)))
@@ -133,14 +137,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, m
     map consistently at each alignment. Windows of which more than half the words are slots count where the text holds them word for word, but
     for case and punctuation; the share is the larger of that of the other windows and that of all. An item of fewer words
     than a window is found in a text that is the same template as a whole, or that holds it word for word.
-    Null texts, empty texts and items, and an empty benchmark: not contaminated. Repeated rows and null
-    doc_ids keep their rows. Columns of docs named contaminated or item_ids are replaced.
+    Null texts, empty texts and items, and an empty benchmark: not contaminated; items of a null item_id are not sought. Repeated rows and null
+    doc_ids keep their rows. Columns of docs named contaminated or item_ids are replaced, others stay whatever their names. Very long texts
+    are read whole. An empty docs gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "decontaminate-out")
     found = contaminated_pairs(docs, benchmark, window, min_share).groupBy("row").agg(F.sort_array(F.collect_set("item_id")).alias("_items"))
     found = scratch.cut(found)
-    keep = [c for c in docs.columns if c not in ("contaminated", "item_ids")]
-    row = F.struct(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"))
-    both = docs.select(*keep, row.alias("row")).join(small(found, found.count()), "row", "left")
+    keep = [F.col(quote(c)) for c in docs.columns if c not in ("contaminated", "item_ids")]
+    row, items = fresh(docs, "row"), fresh(docs, "_items")
+    found = found.withColumnsRenamed({"row": row, "_items": items})
+    both = docs.select(*keep, F.struct(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t")).alias(row)).join(small(found, found.count()), row, "left")
     kind = benchmark.schema["item_id"].dataType.simpleString()
-    return both.select(*keep, F.col("_items").isNotNull().alias("contaminated"), F.coalesce("_items", F.array().cast(f"array<{kind}>")).alias("item_ids"))
+    return both.select(*keep, F.col(items).isNotNull().alias("contaminated"), F.coalesce(items, F.array().cast(f"array<{kind}>")).alias("item_ids"))

@@ -14,6 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from cairn.llm.common import quote
 
 #: Documents a language is learned from, about (those with the smallest hash of doc_id).
 SAMPLE_DOCS = 2000
@@ -155,12 +158,13 @@ def held_out(doc_id) -> Column:
 
 
 def language_id(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, languages of every row of docs (doc_id, text, lang, ...), and the columns named in keep.
+    """doc_id, held_out, lang_pred, score, languages of every row of docs (doc_id, text, lang, ...), and with keep a struct row of the columns it names.
 
     Learns from rows that are not held out; predicts from the text alone. lang_pred is the language with
     the largest share (ties: the first by name), score that share, languages the selected set with shares.
     A null text, one without a letter, or an empty training set: und, 0, empty. Null doc_ids are not held
-    out and not learned from; repeated rows keep their rows; extra columns are ignored.
+    out and not learned from; repeated rows keep their rows; extra columns are ignored or in row, whatever their names. Very long
+    texts are read whole. An empty table gives an empty result.
     """
     known = learn(docs.where(~held_out(F.col("doc_id"))))
     model = docs.sparkSession.sparkContext.broadcast(known)
@@ -170,11 +174,13 @@ def language_id(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
             got = model.value.infer(b.column("text").to_pylist())
             sets = pa.array([x[2] for x in got], pa.map_(pa.string(), pa.float64()))
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("held_out"), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), sets, *[b.column(f"_{c}") for c in keep]],
-                names=["doc_id", "held_out", "lang_pred", "score", "languages", *keep],
+                [b.column("doc_id"), b.column("held_out"), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64()), sets, *([b.column("row")] if keep else [])],
+                names=schema.fieldNames(),
             )
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    src = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", *[F.col(c).alias(f"_{c}") for c in keep])
-    extra = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return src.mapInArrow(run, f"doc_id {kind}, held_out boolean, lang_pred string, score double, languages map<string,double>{extra}")
+    row = [F.struct(*[F.col(quote(c)) for c in keep]).alias("row")] if keep else []
+    src = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text", *row)
+    kinds = [("doc_id", docs.schema["doc_id"].dataType), ("held_out", T.BooleanType()), ("lang_pred", T.StringType()), ("score", T.DoubleType())]
+    kinds += [("languages", T.MapType(T.StringType(), T.DoubleType())), *([("row", src.schema["row"].dataType)] if keep else [])]
+    schema = T.StructType([T.StructField(name, kind) for name, kind in kinds])
+    return src.mapInArrow(run, schema)

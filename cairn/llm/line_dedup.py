@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.llm.common import Scratch, skew_left_join, small
+from cairn.llm.common import Scratch, fresh, quote, skew_left_join, small
 
 #: Largest edit distance (code points) between a line and an earlier one that drops it.
 THRESHOLD = 2
@@ -186,17 +186,18 @@ def dedup_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     the corpus, in order of (doc_id, line number), is the same or within threshold edits. With short_repeats, a shorter line that is
     not blank is dropped when an earlier line is the same, without it shorter lines stay. The earliest of a group stays, so every content is kept once. Null texts stay null with 0 lines; null doc_ids come first in the order; rows
     that repeat doc_id and text are judged as one and all keep its first lines. Extra columns stay as they are, those named n_lines or
-    n_dropped are replaced. Very long lines cost time in proportion to their length.
+    n_dropped are replaced. An empty table gives an empty result. Very long lines cost time in proportion to their length.
     """
-    gone = dropped_lines(docs, threshold, min_chars, short_repeats).select(F.struct(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).alias("_row"), "dropped")
-    gone = gone.withColumnRenamed("dropped", "_dropped")
-    both = docs.withColumn("_row", F.struct(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"))).join(gone, "_row", "left")
+    row, dropped = fresh(docs, "_row"), fresh(docs, "_dropped")
+    gone = dropped_lines(docs.select("doc_id", "text"), threshold, min_chars, short_repeats)
+    gone = gone.select(F.struct(F.col("doc_id").alias("d"), F.col("text_hash").alias("t")).alias(row), F.col("dropped").alias(dropped))
+    both = docs.withColumn(row, F.struct(F.col("doc_id").alias("d"), F.xxhash64("text").alias("t"))).join(gone, row, "left")
     lines = F.split("text", "\n")
     #: the lines are bound as a lambda variable, or each kept line would split the text again
-    rest = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col("_dropped")), lambda i: F.get(x, i))
+    rest = lambda x: F.transform(F.array_except(F.sequence(F.lit(0), F.size(x) - 1), F.col(dropped)), lambda i: F.get(x, i))
     kept = F.transform(F.array(lines), lambda x: F.array_join(rest(x), "\n"))[0]
     return both.select(
-        *[F.when(F.col("_dropped").isNull(), F.col("text")).otherwise(kept).alias(c) if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_dropped")],
+        *[F.when(F.col(dropped).isNull(), F.col("text")).otherwise(kept).alias(c) if c == "text" else F.col(quote(c)) for c in docs.columns if c not in ("n_lines", "n_dropped")],
         F.when(F.col("text").isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_dropped"), F.lit(0)).cast("long").alias("n_dropped"),
+        F.coalesce(F.size(dropped), F.lit(0)).cast("long").alias("n_dropped"),
     )

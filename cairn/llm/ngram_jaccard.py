@@ -36,8 +36,8 @@ CUTS = 4
 HEAVY_SHARE, HEAVY_ROWS, HOT_BATCHES = 64, 16, 20
 #: Hot n-grams that are sent to all tasks at most (those of the most batches); the others are counted like any.
 HOT_GRAMS = 100_000
-#: Stands for the count of a hot n-gram.
-HOT_DF = 1 << 40
+#: An n-gram in the global order is one long: its count, at most this (which also stands for hot ones), then its 48 bits.
+MOST_DF = (1 << 15) - 1
 #: Copies from which a class is joined as a hot key.
 HOT_COPIES = 1000
 
@@ -173,11 +173,8 @@ def _cut(width: int, bits: int, hot):
     return run
 
 
-_PART = pa.list_(pa.struct([("df", pa.int64()), ("gram", pa.int64())]))
-
-
 def _count(bits: int):
-    """The n-grams of a vertical fragment that several sets hold: a row per set with each n-gram and in how many sets it is."""
+    """The n-grams of a vertical fragment that several sets hold: a row per set with their places in the global order."""
 
     def run(t: pa.Table) -> pa.Table:
         grams, names = [], []
@@ -193,7 +190,7 @@ def _count(bits: int):
         first[1:] = (g[1:] != g[:-1]) | (s[1:] != s[:-1])  # equal sets of other batches count once
         g, s = g[first], s[first]
         if t.column("v")[0].as_py() >> bits:
-            df = np.full(len(g), HOT_DF)
+            df = np.full(len(g), MOST_DF)
         else:
             size = np.diff(np.append(np.flatnonzero(np.diff(g, prepend=-1)), len(g)))
             df = np.repeat(size, size)
@@ -202,8 +199,9 @@ def _count(bits: int):
         order = np.lexsort((v, s))
         g, s, df, v = g[order], s[order], df[order], v[order]
         edge = np.flatnonzero((np.diff(s, prepend=0) != 0) | (np.diff(v, prepend=-1) != 0))
-        part = pa.ListArray.from_arrays(pa.array([*edge, len(g)], pa.int32()), pa.StructArray.from_arrays([pa.array(df, pa.int64()), pa.array(g, pa.int64())], names=["df", "gram"]))
-        return pa.table({"fp1": pa.array(s[edge], pa.int64()), "v": pa.array(v[edge], pa.int64()), "part": part.cast(_PART)})
+        place = (np.minimum(df, MOST_DF) << (8 * PREFIX)) | g
+        part = pa.ListArray.from_arrays(pa.array([*edge, len(g)], pa.int32()), pa.array(place, pa.int64()))
+        return pa.table({"fp1": pa.array(s[edge], pa.int64()), "v": pa.array(v[edge], pa.int64()), "part": part})
 
     return run
 
@@ -225,13 +223,26 @@ def partial_overlaps(owner: np.ndarray, grams: np.ndarray, sets: int) -> np.ndar
 _GROUP = ["class_id", "bi", "bj"]
 
 
+def _triangle(both: np.ndarray) -> bytes:
+    """The overlaps of a block's pairs, row by row above the diagonal, in two bytes each where they fit."""
+    flat = np.rint(both[np.triu_indices(len(both), 1)])
+    return flat.astype("<u2" if flat.max(initial=0) < 1 << 16 else "<u4").tobytes()
+
+
+def _square(data: bytes, n: int) -> np.ndarray:
+    pairs = n * (n - 1) // 2
+    out = np.zeros((n, n), np.int64)
+    out[np.triu_indices(n, 1)] = np.frombuffer(data, "<u2" if len(data) == 2 * pairs else "<u4")
+    return out + out.T
+
+
 def _partial(t: pa.Table) -> pa.Table:
     """Of a block of sets in one vertical fragment: its sets, their sizes and the partial overlap of every pair, as one row."""
     part = t.column("part").combine_chunks()
-    grams = part.flatten().field("gram").to_numpy(zero_copy_only=False)
+    grams = part.flatten().to_numpy(zero_copy_only=False)
     sets, at, owner = np.unique(t.column("fp1").to_numpy(), return_index=True, return_inverse=True)
     both = partial_overlaps(np.repeat(owner, np.diff(part.offsets.to_numpy())), grams, len(sets))
-    data = {"sets": sets.tobytes(), "ids": t.column("id").to_numpy()[at].tobytes(), "sizes": t.column("n").to_numpy()[at].tobytes(), "overlaps": np.rint(both).astype("<u4").tobytes()}
+    data = {"sets": sets.tobytes(), "ids": t.column("id").to_numpy()[at].tobytes(), "sizes": t.column("n").to_numpy()[at].tobytes(), "overlaps": _triangle(both)}
     return pa.table({**{c: t.column(c).slice(0, 1) for c in _GROUP}, **{k: pa.array([v], pa.binary()) for k, v in data.items()}})
 
 
@@ -240,7 +251,7 @@ def _links(percent: int):
 
     def run(t: pa.Table) -> pa.Table:
         parts = [
-            (*(np.frombuffer(x, np.int64) for x in (s, i, n)), np.frombuffer(o, "<u4").reshape(len(s) // 8, -1))
+            (*(np.frombuffer(x, np.int64) for x in (s, i, n)), _square(o, len(s) // 8))
             for s, i, n, o in zip(*(t.column(c).to_pylist() for c in ("sets", "ids", "sizes", "overlaps")), strict=True)
         ]
         sets, first = np.unique(np.concatenate([x[0] for x in parts]), return_index=True)
@@ -337,7 +348,7 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80)
     hot = spark.sparkContext.broadcast(np.array(sorted(r.g for r in hot.collect()), np.int64))
     bits = max(CUTS.bit_length() - 1, math.ceil(math.log2(max(1, (real.agg(F.sum("n_shingles")).first()[0] or 0) / COUNTED))))
     cut = text.where("doc_id is not null and data is not null").mapInArrow(_cut(width, bits, hot), "v long, sets binary, owner binary, grams binary")
-    common = scratch.cut(cut.groupBy("v").applyInArrow(_count(bits), "fp1 long, v long, part array<struct<df:long,gram:long>>"))
+    common = scratch.cut(cut.groupBy("v").applyInArrow(_count(bits), "fp1 long, v long, part array<long>"))
     #: equal sets are one class; partial aggregation collapses a hot group of copies before the shuffle
     reps = scratch.cut(real.groupBy("fp1", "fp2", "n_shingles", "n_heads").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")))
     grams = F.flatten(F.collect_list("part"))
@@ -347,7 +358,7 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80)
     n = F.col("n_shingles")
     #: of the first n - ceil(t n) + 1 n-grams in the order, n_heads - size(grams) are held by no other set
     take = n - F.ceil(n * percent / 100) + 1 - (F.col("n_heads") - F.size("grams"))
-    keys = known.where(take > 0).select("id", F.explode(F.slice("grams", F.lit(1), take.cast("int"))).alias("g")).select("id", F.col("g.gram").alias("key"))
+    keys = known.where(take > 0).select("id", F.explode(F.slice("grams", F.lit(1), take.cast("int"))).alias("key"))
     keys = scratch.cut(keys)
     leaders = scratch.cut(keys.groupBy("key").agg(F.min("id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1"))
     shared = skew_left_join(keys, leaders, ["key"], F.col("n") >= HOT_COPIES, ["id"]).where("id <> leader")

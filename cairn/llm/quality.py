@@ -14,7 +14,7 @@ from cairn.llm.ngram_jaccard import _SPACE, _mix, word_hashes
 
 #: Labelled rows the classifier is fitted on at most: those with the smallest hash of doc_id.
 SAMPLE_ROWS = 3000
-#: Buckets: the lower half for words and word pairs, the upper half for CHARS-byte n-grams.
+#: Buckets: the lower half for words and word pairs, the upper half for n-grams of CHARS code points.
 BUCKETS, CHARS = 1 << 16, 4
 #: Fixed thresholds.
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_QUALITY = 10, 20, 0.5
@@ -50,16 +50,18 @@ def base_counts(data: bytes, words: np.ndarray) -> tuple[int, int, int, int, int
 
 
 def buckets(data: bytes, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of every word, word pair and byte n-gram of a text."""
+    """Bucket of every word, word pair and character n-gram (code points) of a text."""
     half = np.uint64(BUCKETS // 2)
     pairs = _mix(words[:-1] * np.uint64(3) + words[1:]) if len(words) > 1 else words[:0]
     w = (np.concatenate([words, pairs]) % half).astype(np.int32)
-    raw = np.frombuffer(data, np.uint8)
+    raw = np.frombuffer(data.decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
     if len(raw) < CHARS:
         return w, w[:0]
-    code = np.zeros(len(raw) - CHARS + 1, np.uint32)
-    for k in range(CHARS):
-        code |= raw[k : len(raw) - CHARS + 1 + k].astype(np.uint32) << np.uint32(8 * k)
+    n = len(raw) - CHARS + 1
+    code = raw[:n].copy()
+    for k in range(1, CHARS):
+        code *= np.uint32(0x01000193)
+        code += raw[k : n + k]
     return w, ((code * np.uint32(2654435761)) >> np.uint32(17)).astype(np.int32) % (BUCKETS // 2) + BUCKETS // 2
 
 
@@ -80,6 +82,25 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
 
+def loss_gradient(x: np.ndarray, row, col, val, y, use) -> np.ndarray:
+    """Gradient of the mean log loss over the rows in use and of L2 / 2 times the squared weights; the last of x is the bias."""
+    error = np.where(use, _sigmoid(np.bincount(row, val * x[col].astype(np.float32), len(y)) + x[-1]) - y, 0) / use.sum()
+    g = np.bincount(col, val * error[row].astype(np.float32), len(x)) + L2 * x
+    g[-1] = error.sum()
+    return g
+
+
+def platt_fit(z: np.ndarray, t: np.ndarray) -> np.ndarray:
+    """Slope and shift of the calibrated log odds, fitted to Platt's smoothed targets."""
+    target = np.where(t == 1, (t.sum() + 1) / (t.sum() + 2), 1 / (len(t) - t.sum() + 2))
+
+    def grad(p):
+        e = (_sigmoid(p[0] * z + p[1]) - target) / len(t)
+        return np.array([(e * z).sum(), e.sum()])
+
+    return _descend(grad, np.array([1.0, 0.0]), 500, 0.02)
+
+
 def _descend(grad, x: np.ndarray, steps: int, rate: float) -> np.ndarray:
     """Adam on a full-batch gradient."""
     m, v = np.zeros_like(x), np.zeros_like(x)
@@ -113,7 +134,8 @@ def _sample(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
                 [b.column("doc_id"), b.column("quality"), pa.array(idx, pa.binary()), pa.array(val, pa.binary())], names=["doc_id", "quality", "idx", "val"]
             )
 
-    joined = text.join(F.broadcast(chosen), "doc_id").select("doc_id", F.col("quality").cast("int").alias("quality"), "data")
+    #: one text a label, whatever the number of rows with its doc_id
+    joined = text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"), F.min("data").alias("data"))
     return joined.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, idx binary, val binary")
 
 
@@ -132,26 +154,11 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         held[:] = False
     use = ~held
 
-    def dot(x):
-        return np.bincount(row, val * x[col].astype(np.float32), len(got)) + x[-1]
-
-    def grad(x):
-        error = np.where(use, _sigmoid(dot(x)) - y, 0) / use.sum()
-        g = np.bincount(col, val * error[row].astype(np.float32), BUCKETS + 1) + L2 * x
-        g[-1] = error.sum()
-        return g
-
-    x = _descend(grad, np.zeros(BUCKETS + 1), STEPS, RATE)
+    x = _descend(lambda x: loss_gradient(x, row, col, val, y, use), np.zeros(BUCKETS + 1), STEPS, RATE)
     slope = np.array([1.0, 0.0])
     if held.any():
-        z, t = dot(x)[held], y[held]
-        target = np.where(t == 1, (t.sum() + 1) / (t.sum() + 2), 1 / (len(t) - t.sum() + 2))  # Platt's smoothed targets
-
-        def platt(p):
-            e = (_sigmoid(p[0] * z + p[1]) - target) / len(t)
-            return np.array([(e * z).sum(), e.sum()])
-
-        slope = _descend(platt, slope, 500, 0.02)
+        z = np.bincount(row, val * x[col].astype(np.float32), len(got)) + x[-1]
+        slope = platt_fit(z[held], y[held])
     return Model(x[:-1].astype(np.float32), float(x[-1]), float(slope[0]), float(slope[1]))
 
 
@@ -160,7 +167,9 @@ def quality_rules(docs: DataFrame, labels: DataFrame, min_quality: float = MIN_Q
 
     base_failed: fewer than 10 words, or more than 20 % of the words in repeated 5-word windows.
     kept: not base_failed and the calibrated probability of good quality is at least min_quality.
-    Null and empty texts have zero counts and fail. Null doc_ids and repeated rows keep their rows; extra columns are ignored.
+    Null and empty texts have zero counts and fail. Null doc_ids and repeated rows keep their rows; extra columns are ignored,
+    whatever their names. Without labels of both kinds (an empty table too) the classifier is constant. Very long texts are read whole; an empty docs gives an
+    empty result. Of rows that repeat a labelled doc_id the smallest text is learned from.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
+from pyspark.sql import functions as F
 
 from cairn.llm import bpe, chat, decontaminate, language, line_dedup, ngram_jaccard, quality, token_files, url_filter, warc
 from cairn.llm.common import table
@@ -41,7 +42,7 @@ def op8_token_files(spark, sf_dir):
 
 
 def op9_language_id(spark, sf_dir):
-    return language.language_id(table(spark, sf_dir, "documents")).drop("languages")
+    return language.language_id(table(spark, sf_dir, "documents")).withColumn("languages", F.to_json("languages"))
 
 
 def op10_byte_bpe(spark, sf_dir):

@@ -24,8 +24,8 @@ from pyspark.sql.window import Window
 from cairn.llm.common import Scratch
 from cairn.llm.files import attempt_name, local_path, new_file, open_store
 
-#: Words whose ids a worker remembers.
-CACHE_WORDS = 1_200_000
+#: Words whose ids a worker remembers, of at most so many characters.
+CACHE_WORDS, CACHE_CHARS = 1_200_000, 64
 #: Words encoded in one call.
 CALL_WORDS = 512
 NO_ID = -(1 << 63)
@@ -44,7 +44,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        #: texts that hold the string of a special token are encoded whole, as the library does
+        self.special = [t.content for t in self.tok.get_added_tokens_decoder().values()]
         self.end = np.uint32(end_id).tobytes()
         self.known: dict[str, bytes] = {"": b""}
         vocab = self.tok.get_vocab()
@@ -77,11 +78,12 @@ class WordEncoder:
 
     def _alone(self, words: list[str]) -> None:
         for w in words:
-            self.known[w] = np.array(self.tok.encode(w, add_special_tokens=False).ids, "<u4").tobytes()
+            self.known[w] = self._ids(w)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text with the end id, as little-endian uint32."""
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        whole = {i for i, t in enumerate(texts) if t and any(x in t for x in self.special)}
+        split = [[] if i in whole else (t or "").replace("\n", " ").split(" ") for i, t in enumerate(texts)]
         if len(self.known) > CACHE_WORDS:
             self.known = {"": b""}
         known = self.known
@@ -91,7 +93,16 @@ class WordEncoder:
         self._learn([x for x in {x for w in new for x in halves.get(w, (w,))} if x not in known])
         for w, (base, signs) in halves.items():
             known[w] = known[base] + known[signs]
-        return [b"".join(map(known.__getitem__, words)) + self.end for words in split]
+        out = [b"".join(map(known.__getitem__, words)) + self.end for words in split]
+        for i in whole:
+            out[i] = self._ids(texts[i]) + self.end
+        for w in new:
+            if len(w) > CACHE_CHARS:
+                del known[w]
+        return out
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self.tok.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
 
 @functools.cache
@@ -104,7 +115,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, end_id: int, root: s
     """Writes docs (doc_id, text, ...) in ascending doc_id order; returns the manifest rows (not yet with bases).
 
     part int, name string, n_docs long, n_ids long, width int. Null doc_ids come first, a null text is
-    empty and has only the end id, repeated rows are all written; an empty table writes no file.
+    empty and has only the end id, repeated rows are all written; an empty table writes no file. Extra columns are ignored,
+    whatever their names. A very long text costs memory in proportion to its length, in its own task alone.
     """
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     ordered = ordered.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())

@@ -90,7 +90,8 @@ def url_filter(pages: DataFrame, rules=RULES, strict=STRICT, soft=SOFT, soft_lim
 
     verdict is the fitting rule's, else block when the vocabulary rejects the URL, else allow.
     A null URL or one without '://' has an empty host and path, fits no rule and is still read by the
-    vocabulary (null: no hit). Repeated rows and null page_ids keep their rows; extra columns are ignored.
+    vocabulary (null: no hit). Repeated rows and null page_ids keep their rows; extra columns are ignored, whatever their names.
+    URLs of any length are read whole; an empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

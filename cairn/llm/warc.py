@@ -72,6 +72,7 @@ def write_warc(pages: DataFrame, scratch: Scratch, root: str, min_revisit_bytes:
     Of rows with equal payloads (same SHA-1 and size, at least min_revisit_bytes long) the one with the smallest page_id is a
     response, the others revisit it. Null html is an empty payload, a null url an empty target.
     A null page_id is written as a response and is never referred to. Rows that repeat the smallest page_id are responses too.
+    Extra columns are ignored, whatever their names; an empty table writes no archive. A payload of any length is one record.
     """
     src = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html"), F.lit("")).cast("binary").alias("payload"))
     keyed = src.withColumn("sha", F.sha1("payload")).withColumn("size", F.octet_length("payload").cast("long"))
@@ -94,7 +95,7 @@ def write_warc(pages: DataFrame, scratch: Scratch, root: str, min_revisit_bytes:
         with new_file(uri) as out:
             while batch is not None:
                 rows = []
-                for r in batch.to_pylist():
+                for r in (row for low in range(0, batch.num_rows, 64) for row in batch.slice(low, 64).to_pylist()):
                     digest = base64.b32encode(bytes.fromhex(r["sha"])).decode()
                     data = gzip.compress(record(r["page_id"], r["url"], r["payload"] or b"", digest, r["size"], r["refers_to"]), 6, mtime=0)
                     out.write(data)

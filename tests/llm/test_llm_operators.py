@@ -249,7 +249,6 @@ def test_token_files(spark):
 
     path = P.path("word_bpe_49k.json")
     tok = Tokenizer.from_file(path)
-    tok.encode_special_tokens = True
     rows = [(5, "It's Σας ΟΔΟΣ.\nx  y"), (2, None), (9, ""), (3, "<|startoftext|> a\tb\r\nc"), (3, "again " * 300), (None, "null id")]
     got = token_files.token_file_round_trip(frame(spark, rows), path).orderBy("start").collect()
     at = 0
