@@ -126,7 +126,8 @@ def _features(width: int, heavy_rows: int):
             sets = [shingles(x.as_py(), width) for x in b.column("data")]
             one, two = zip(*map(fingerprint, sets), strict=True)
             grams = [heads(h) for h in sets]
-            common = [heavy(grams, max(heavy_rows, b.num_rows // HEAVY_SHARE)).tolist(), *[None] * (len(sets) - 1)]
+            each = dict(zip(one, grams, strict=True)).values()  # copies count once
+            common = [heavy([*each], max(heavy_rows, b.num_rows // HEAVY_SHARE)).tolist(), *[None] * (len(sets) - 1)]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), *(pa.array(x, pa.int64()) for x in ([len(h) for h in sets], [len(g) for g in grams], one, two)), pa.array(common, pa.list_(pa.int64()))],
                 names=["doc_id", "n_shingles", "n_heads", "fp1", "fp2", "heavy"],
@@ -174,7 +175,7 @@ def _cut(width: int, bits: int, hot):
 
 
 def _count(bits: int):
-    """The n-grams of a vertical fragment that several sets hold: a row per set with their places in the global order."""
+    """The n-grams of a vertical fragment that several sets hold, with their places in the global order: a row per bucket of sets."""
 
     def run(t: pa.Table) -> pa.Table:
         grams, names = [], []
@@ -195,17 +196,46 @@ def _count(bits: int):
             size = np.diff(np.append(np.flatnonzero(np.diff(g, prepend=-1)), len(g)))
             df = np.repeat(size, size)
             g, s, df = g[df > 1], s[df > 1], df[df > 1]
-        v = g >> (8 * PREFIX - bits)
-        order = np.lexsort((v, s))
-        g, s, df, v = g[order], s[order], df[order], v[order]
-        edge = np.flatnonzero((np.diff(s, prepend=0) != 0) | (np.diff(v, prepend=-1) != 0))
-        place = (np.minimum(df, MOST_DF) << (8 * PREFIX)) | g
-        part = pa.ListArray.from_arrays(pa.array([*edge, len(g)], pa.int32()), pa.array(place, pa.int64()))
-        return pa.table({"fp1": pa.array(s[edge], pa.int64()), "v": pa.array(v[edge], pa.int64()), "part": part})
+        place, bucket = (np.minimum(df, MOST_DF) << (8 * PREFIX)) | g, _bucket(s, bits)
+        order = np.argsort(bucket, kind="stable")
+        place, s, bucket = place[order], s[order], bucket[order]
+        edge = np.flatnonzero(np.diff(bucket, prepend=-1))
+        spans = list(zip(edge.tolist(), [*edge[1:].tolist(), len(s)], strict=True)) if len(s) else []
+        return pa.table(
+            {
+                "bucket": pa.array(bucket[edge], pa.int64()),
+                "sets": pa.array([s[a:z].tobytes() for a, z in spans], pa.binary()),
+                "places": pa.array([place[a:z].tobytes() for a, z in spans], pa.binary()),
+            }
+        )
 
     return run
 
 
+def _bucket(names: np.ndarray, bits: int) -> np.ndarray:
+    return (names.view(np.uint64) >> np.uint64(64 - bits)).view(np.int64)
+
+
+def _gather(t: pa.Table, reps: pa.Table) -> pa.Table:
+    """The sets of a bucket that share n-grams, each with its n-grams from all fragments in the global order."""
+    name, place = (np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in t.column(c).to_pylist())]) for c in ("sets", "places"))
+    if not len(name):
+        return _KNOWN.empty_table()
+    order = np.lexsort((place, name))
+    name, place = name[order], place[order]
+    other = np.append(True, name[1:] != name[:-1])
+    keep = other | np.append(True, place[1:] != place[:-1])  # a hot n-gram comes from every batch that holds a copy of the set
+    name, place, other = name[keep], place[keep], other[keep]
+    edge = np.flatnonzero(other)
+    grams = pa.ListArray.from_arrays(pa.array([*edge, len(name)], pa.int32()), pa.array(place, pa.int64()))
+    reps = reps.sort_by("fp1")
+    row = np.searchsorted(reps.column("fp1").to_numpy(), name[edge])
+    return pa.table([*(reps.column(c).take(pa.array(row)).combine_chunks() for c in _KNOWN.names[:-1]), grams], schema=_KNOWN)
+
+
+_KNOWN = pa.schema([("fp1", pa.int64()), ("n_shingles", pa.int64()), ("n_heads", pa.int64()), ("id", pa.int64()), ("grams", pa.list_(pa.int64()))])
+
+
 def partial_overlaps(owner: np.ndarray, grams: np.ndarray, sets: int) -> np.ndarray:
     """Overlap of every pair of sets in one vertical fragment; owner and grams say which set holds which n-gram."""
     order, column = np.unique(grams, return_inverse=True)
@@ -277,17 +307,33 @@ def _links(percent: int):
     return run
 
 
-def _block_links(common: DataFrame, dealt: DataFrame, n_dealt: int, bits: int, percent: int) -> DataFrame:
+def _fragments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Cuts every set into its vertical fragments: cuts equal ranges of the n-gram hashes."""
+    for b in batches:
+        grams = b.column("grams")
+        place = grams.flatten().to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(b.num_rows), np.diff(grams.offsets.to_numpy()))
+        cut = ((place & ((1 << 8 * PREFIX) - 1)) * b.column("cuts").to_numpy()[owner]) >> (8 * PREFIX)
+        order = np.lexsort((cut, owner))
+        place, owner, cut = place[order], owner[order], cut[order]
+        edge = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (cut[1:] != cut[:-1]))[: len(cut)])
+        part = pa.ListArray.from_arrays(pa.array([*edge, len(cut)], pa.int32()), pa.array(place, pa.int64()))
+        rows = pa.array(owner[edge])
+        yield pa.RecordBatch.from_arrays([*(b.column(c).take(rows) for c in _SET), pa.array(cut[edge], pa.int64()), part], names=[*_SET, "cut", "part"])
+
+
+_SET = [*_GROUP, "fp1", "id", "n"]
+
+
+def _block_links(known: DataFrame, dealt: DataFrame, n_dealt: int, percent: int) -> DataFrame:
     """Links inside blocks. dealt says which set (fp1, id, n) is in which block (class_id, bi, bj) and how many fragments it has (cuts)."""
-    rows = common.join(small(dealt, n_dealt), "fp1")
-    #: contiguous fragments of the order meet in the cut of their block
-    cut = F.floor(F.col("v") * F.col("cuts") / (1 << bits))
-    rows = rows.select(*_GROUP, cut.alias("cut"), "fp1", "id", "n", "part")
+    rows = known.select("fp1", "grams").join(small(dealt, n_dealt), "fp1").select(*_SET, "cuts", "grams")
+    rows = rows.mapInArrow(_fragments, "class_id long, bi int, bj int, fp1 long, id long, n long, cut long, part array<long>")
     partial = rows.groupBy(*_GROUP, "cut").applyInArrow(_partial, "class_id long, bi int, bj int, sets binary, ids binary, sizes binary, overlaps binary")
     return partial.groupBy(*_GROUP).applyInArrow(_links(percent), "src long, dst long")
 
 
-def _class_links(common: DataFrame, members: DataFrame, bits: int, percent: int, scratch: Scratch) -> DataFrame:
+def _class_links(known: DataFrame, members: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(src, dst): a spanning forest of the links of every class; members are (fp1, id, n, class_id, sets, grams).
 
     A small class is one block. Of a large one every block meets the class's first set; sets linked with it there are one component
@@ -306,7 +352,7 @@ def _class_links(common: DataFrame, members: DataFrame, bits: int, percent: int,
     where = F.when(~large, F.array(F.lit(0))).when(F.col("id") == F.col("class_id"), every).otherwise(F.array(own(blocks)))
     first = members.select(*base, "class_id", F.when(large, -1).otherwise(0).alias("bi"), F.explode(where).alias("bj"), cuts(F.col("grams") / blocks).alias("cuts"))
     first = scratch.cut(first)
-    links = scratch.cut(_block_links(common, first, first.count(), bits, percent))
+    links = scratch.cut(_block_links(known, first, first.count(), percent))
     wide = scratch.cut(members.where(large))
     n_wide = wide.count()
     if not n_wide:
@@ -322,7 +368,7 @@ def _class_links(common: DataFrame, members: DataFrame, bits: int, percent: int,
     left = left.withColumn("mine", mine).withColumn("other", F.explode(other))
     second = left.select(*base, "class_id", F.least("mine", "other").alias("bi"), F.greatest("mine", "other").alias("bj"), cuts(2 * F.col("grams") / blocks).alias("cuts"))
     second = scratch.cut(second)
-    return links.union(scratch.cut(_block_links(common, second, second.count(), bits, percent)))
+    return links.union(scratch.cut(_block_links(known, second, second.count(), percent)))
 
 
 def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -348,13 +394,13 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80)
     hot = spark.sparkContext.broadcast(np.array(sorted(r.g for r in hot.collect()), np.int64))
     bits = max(CUTS.bit_length() - 1, math.ceil(math.log2(max(1, (real.agg(F.sum("n_shingles")).first()[0] or 0) / COUNTED))))
     cut = text.where("doc_id is not null and data is not null").mapInArrow(_cut(width, bits, hot), "v long, sets binary, owner binary, grams binary")
-    common = scratch.cut(cut.groupBy("v").applyInArrow(_count(bits), "fp1 long, v long, part array<long>"))
+    common = cut.groupBy("v").applyInArrow(_count(bits), "bucket long, sets binary, places binary")
     #: equal sets are one class; partial aggregation collapses a hot group of copies before the shuffle
     reps = scratch.cut(real.groupBy("fp1", "fp2", "n_shingles", "n_heads").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")))
-    grams = F.flatten(F.collect_list("part"))
-    #: a hot n-gram comes from every batch that holds a copy of the set
-    grams = F.sort_array(F.array_distinct(grams) if len(hot.value) else grams)
-    known = common.groupBy("fp1").agg(grams.alias("grams")).join(reps.select("fp1", "n_shingles", "n_heads", "id"), "fp1")
+    #: the sets meet their sizes in the same shuffle
+    sizes = reps.select(F.shiftrightunsigned("fp1", 64 - bits).alias("bucket"), "fp1", "n_shingles", "n_heads", "id")
+    known = common.groupBy("bucket").cogroup(sizes.groupBy("bucket")).applyInArrow(_gather, "fp1 long, n_shingles long, n_heads long, id long, grams array<long>")
+    known = scratch.cut(known)
     n = F.col("n_shingles")
     #: of the first n - ceil(t n) + 1 n-grams in the order, n_heads - size(grams) are held by no other set
     take = n - F.ceil(n * percent / 100) + 1 - (F.col("n_heads") - F.size("grams"))
@@ -367,8 +413,8 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80)
     members = reps.select("fp1", "id", n.alias("n")).join(small(classes, count).withColumnRenamed("component", "class_id"), "id")
     sizes = members.groupBy("class_id").agg(F.count(F.lit(1)).alias("sets"), F.sum("n").alias("grams"))
     members = scratch.cut(members.join(sizes, "class_id"))
-    links = scratch.cut(_class_links(common, members, bits, percent, scratch))
-    scratch.free(common)
+    links = scratch.cut(_class_links(known, members, percent, scratch))
+    scratch.free(known)
     scratch.free(keys)
     found = scratch.cut(connected_components(links, scratch))
     reached = small(found, found.count())
