@@ -81,7 +81,37 @@ def unix_minute(seconds: Column) -> Column:
 
 def filetime_seconds(ticks: Column) -> Column:
     """Seconds since 1970 of 100 ns ticks since 1601."""
-    return F.floor(ticks / 10_000_000).cast("long") - F.lit(11_644_473_600)
+    #: whole numbers throughout: a double loses the last ticks
+    return ((ticks - F.pmod(ticks, F.lit(10_000_000))) / F.lit(10_000_000).cast("decimal(20,0)")).cast("long") - F.lit(11_644_473_600)
+
+
+def seconds_filetime(seconds: Column) -> Column:
+    return (seconds + F.lit(11_644_473_600)) * F.lit(10_000_000)
+
+
+def join_path(parent: Column, child: Column) -> Column:
+    """parent/child; an empty or null side adds no separator."""
+    return F.concat_ws("/", F.when(parent != "", parent), F.when(child != "", child))
+
+
+def ascii_lower(text: Column) -> Column:
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return F.translate(text, upper, upper.lower())
+
+
+def civil_day(year: Column, month: Column, day: Column) -> Column:
+    """Days since 1970-01-01 of a date; null where there is no such date."""
+    return F.unix_date(F.try_make_date(year, month, day)) if hasattr(F, "try_make_date") else F.unix_date(F.make_date(year, month, day))
+
+
+#: The largest unsigned 64-bit number.
+MOST_U64 = "18446744073709551615"
+
+
+def saturated_add(a: Column, b: Column) -> Column:
+    """Sum of unsigned 64-bit numbers (decimals), at most the largest one."""
+    wide = a.cast("decimal(20,0)").cast("decimal(38,0)") + b.cast("decimal(20,0)").cast("decimal(38,0)")
+    return F.least(wide, F.lit(MOST_U64).cast("decimal(38,0)")).cast("decimal(20,0)")
 
 
 def bit_width(n: Column) -> Column:

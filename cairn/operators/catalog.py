@@ -228,3 +228,44 @@ def dead_bytes(blocks: DataFrame, pieces: DataFrame) -> DataFrame:
     live = pieces.groupBy("archive_id").agg(F.sum(F.col("block_to") - F.col("block_from")).alias("live"))
     total = blocks.groupBy("archive_id").agg(F.sum("usize").alias("total"))
     return total.join(live, "archive_id", "left").select("archive_id", (F.col("total") - F.coalesce("live", F.lit(0))).alias("dead"))
+
+
+def browser_order(entries: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """Adds place, the row's place in its archive's table: folders, containers, then files, each by column and then by name.
+
+    Descending turns column and name round, never the rank of the kinds. A null column sorts as 0 or as the empty text. A table that a
+    browser shows is one archive's, so the window is by archive.
+    """
+    rank = F.when(F.col("kind") == "dir", 0).when(S.archive_type(F.col("path")).isNotNull(), 1).otherwise(2)
+    text = entries.schema[column].dataType.simpleString() == "string"
+    value = F.lower(F.coalesce(column, F.lit(""))) if text else F.coalesce(F.col(column), F.lit(0))
+    keys = [value, F.lower("path"), F.col("path")]
+    order = [rank.asc(), *[k.desc() if descending else k.asc() for k in keys]]
+    return entries.withColumn("place", F.row_number().over(Window.partitionBy("archive_id").orderBy(*order)))
+
+
+def restore_order(entries: DataFrame) -> DataFrame:
+    """archive_id, path, depth of directories; times are set from the greatest depth up, so that writing into a folder comes before."""
+    depth = F.size(F.split("path", "/"))
+    return entries.where("kind = 'dir'").select("archive_id", "path", depth.alias("depth")).orderBy("archive_id", F.desc("depth"), "path")
+
+
+def hard_link_targets(entries: DataFrame) -> DataFrame:
+    """Each hard link with the file it stands for: ord, size and digest of the target, and dangling where there is none."""
+    files = entries.where("kind = 'file'").select("archive_id", F.col("path").alias("link_target"), F.col("ord").alias("file_ord"), F.col("size").alias("file_size"), F.col("digest").alias("file_digest"))
+    links = entries.where("kind = 'hardlink'").select(*KEY, "link_target").join(files, ["archive_id", "link_target"], "left")
+    return links.select(*KEY, "link_target", "file_ord", "file_size", "file_digest", F.col("file_ord").isNull().alias("dangling"))
+
+
+def with_parents(entries: DataFrame, targets: DataFrame) -> DataFrame:
+    """Paths (archive_id, path) of the selected subtrees with every folder above them, each once."""
+    chosen = _touched(entries, targets)
+    above = chosen.select("archive_id", F.explode(S.ancestors(F.col("path"))).alias("path"))
+    return chosen.unionByName(above).distinct()
+
+
+def first_scan(items: DataFrame, keys: list[str], root: str) -> DataFrame:
+    """One row for each key of overlapping input roots: that of the smallest root."""
+    rest = [c for c in items.columns if c not in keys]
+    best = items.groupBy(*keys).agg(F.min(F.struct(root, *[c for c in rest if c != root])).alias("_first"))
+    return best.select(*keys, *[F.col(f"_first.{c}").alias(c) for c in rest])
