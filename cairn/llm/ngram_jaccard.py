@@ -137,7 +137,7 @@ def _features(width: int, heavy_rows: int):
 
 
 def _cut(width: int, bits: int, hot):
-    """For each batch and vertical fragment one row: the sets, and which of them holds which n-gram. Hot n-grams go to a salt instead."""
+    """For each batch and vertical fragment one row: the sets, how many n-grams each holds there, and these, set by set. Hot n-grams go to a salt instead."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = hot.value
@@ -155,35 +155,47 @@ def _cut(width: int, bits: int, hot):
                 if len(known) and len(g):
                     salt = (1 << bits) + int(_mix(names[:1].view(np.uint64))[0] >> np.uint64(64 - bits))
                     v[known[np.searchsorted(known, g).clip(max=len(known) - 1)] == g] = salt
-                order = np.lexsort((g, v))
+                order = np.lexsort((g, owner, v))
                 g, owner, v = g[order], owner[order], v[order]
                 edge = np.flatnonzero(np.diff(v, prepend=-1))
                 head = np.ascontiguousarray(g).view(np.uint8).reshape(-1, 8)[:, :PREFIX]
                 rows = list(zip(v[edge].tolist(), edge.tolist(), [*edge[1:].tolist(), len(g)], strict=True)) if len(g) else []
                 if rows:
+                    held = [np.unique(owner[a:z], return_counts=True) for _, a, z in rows]
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([i for i, _, _ in rows], pa.int64()),
-                            pa.array([names[np.unique(owner[a:z])].tobytes() for _, a, z in rows], pa.binary()),
-                            pa.array([np.unique(owner[a:z], return_inverse=True)[1].astype(np.uint16).tobytes() for _, a, z in rows], pa.binary()),
+                            pa.array([names[o].tobytes() for o, _ in held], pa.binary()),
+                            pa.array([_short(n) for _, n in held], pa.binary()),
                             pa.array([head[a:z].tobytes() for _, a, z in rows], pa.binary()),
                         ],
-                        names=["v", "sets", "owner", "grams"],
+                        names=["v", "sets", "held", "grams"],
                     )
 
     return run
 
 
+def _short(n: np.ndarray) -> bytes:
+    """Whole numbers in one, two or four bytes each, whichever holds all."""
+    return n.astype("<u1" if n.max() < 1 << 8 else "<u2" if n.max() < 1 << 16 else "<u4").tobytes()
+
+
+def _owners(sets: bytes, held: bytes) -> np.ndarray:
+    """The set of each n-gram of a row of _cut."""
+    names = np.frombuffer(sets, np.int64)
+    return np.repeat(names, np.frombuffer(held, f"<u{len(held) // len(names)}"))
+
+
 def _count(bits: int):
     """The n-grams of a vertical fragment that several sets hold, with their places in the global order: a row per bucket of sets."""
 
     def run(t: pa.Table) -> pa.Table:
         grams, names = [], []
-        for sets, owner, head in zip(*(t.column(c).to_pylist() for c in ("sets", "owner", "grams")), strict=True):
+        for sets, held, head in zip(*(t.column(c).to_pylist() for c in ("sets", "held", "grams")), strict=True):
             wide = np.zeros((len(head) // PREFIX, 8), np.uint8)
             wide[:, :PREFIX] = np.frombuffer(head, np.uint8).reshape(-1, PREFIX)
             grams.append(wide.view(np.int64).ravel())
-            names.append(np.frombuffer(sets, np.int64)[np.frombuffer(owner, np.uint16)])
+            names.append(_owners(sets, held))
         g, s = np.concatenate(grams), np.concatenate(names)
         order = np.lexsort((s, g))
         g, s = g[order], s[order]
@@ -393,7 +405,7 @@ def ngram_jaccard_components(docs: DataFrame, width: int = 5, percent: int = 80)
     hot = batches.select(F.explode("heavy").alias("g")).groupBy("g").count().where(F.col("count") >= least).orderBy(F.desc("count"), "g").limit(HOT_GRAMS)
     hot = spark.sparkContext.broadcast(np.array(sorted(r.g for r in hot.collect()), np.int64))
     bits = max(CUTS.bit_length() - 1, math.ceil(math.log2(max(1, (real.agg(F.sum("n_shingles")).first()[0] or 0) / COUNTED))))
-    cut = text.where("doc_id is not null and data is not null").mapInArrow(_cut(width, bits, hot), "v long, sets binary, owner binary, grams binary")
+    cut = text.where("doc_id is not null and data is not null").mapInArrow(_cut(width, bits, hot), "v long, sets binary, held binary, grams binary")
     common = cut.groupBy("v").applyInArrow(_count(bits), "bucket long, sets binary, places binary")
     #: equal sets are one class; partial aggregation collapses a hot group of copies before the shuffle
     reps = scratch.cut(real.groupBy("fp1", "fp2", "n_shingles", "n_heads").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")))

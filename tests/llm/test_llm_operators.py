@@ -76,6 +76,14 @@ def test_partial_overlaps_sum_to_overlaps():
     assert (sum(parts) == [[len(np.intersect1d(a, b)) for b in sets] for a in sets]).all()
 
 
+def test_owners_of_cut_rows_come_back():
+    names = np.array([7, -3, 1 << 60], np.int64)
+    for counts in ([1, 2, 255], [256, 1, 3], [1, 70_000, 2]):
+        held = ngram_jaccard._short(np.array(counts))
+        assert (ngram_jaccard._owners(names.tobytes(), held) == np.repeat(names, counts)).all()
+    assert [len(ngram_jaccard._short(np.array([1, n]))) for n in (255, 256, 65_535, 65_536)] == [2, 4, 4, 8]
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_jaccard.ngram_jaccard_components(frame(spark, [])).count() == 0
 
