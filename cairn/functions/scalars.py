@@ -123,6 +123,24 @@ def varint_size(n: Column) -> Column:
     return F.greatest(F.lit(1), F.ceil(bit_width(n) / 7).cast("int"))
 
 
+def varint(n: Column) -> Column:
+    """The bytes of a whole number (as 64 unsigned bits), seven bits each, lowest first; all but the last have the top bit set."""
+    n = n.cast("long")
+    parts = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.call_function("shiftrightunsigned", n, i * 7))
+    used = F.filter(parts, lambda x, i: (i == 0) | ((x != 0) & (i < 10)))
+    octets = F.transform(used, lambda x, i: x.bitwiseAND(F.lit(127)) + F.when(i < F.size(used) - 1, 128).otherwise(0))
+    return F.when(n.isNotNull(), F.unhex(F.array_join(F.transform(octets, lambda b: F.lpad(F.hex(b), 2, "0")), "")))
+
+
+def varint_value(data: Column) -> Column:
+    """The number that data begins with; null for data that end before it does and for more than ten bytes. Bits past the 64th are lost."""
+    text = F.hex(F.substring(data, 1, 10))
+    octets = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), (F.length(text) / 2).cast("int"))), lambda i: F.conv(F.substring(text, 2 * i - 1, F.lit(2)), 16, 10).cast("long"))
+    last = F.array_position(F.transform(octets, lambda b: b < 128), True).cast("int")
+    bits = F.transform(F.slice(octets, 1, last), lambda b, i: F.call_function("shiftleft", b.bitwiseAND(F.lit(127)), 7 * i))
+    return F.when((F.length(text) > 0) & (last > 0), F.aggregate(bits, F.lit(0).cast("long"), lambda x, y: x.bitwiseOR(y)))
+
+
 def zigzag16(w: Column) -> Column:
     """Unsigned image of a signed 16-bit number."""
     v = F.pmod(w + 32768, F.lit(65536)) - 32768

@@ -84,3 +84,20 @@ def test_names_and_parsers(spark):
     assert [one(spark, S.last_percent(F.lit(p))) for p in ("1% x 42%", "none", "101%")] == [42, None, None]
     assert one(spark, S.attribute_letters(F.lit(0x25))) == "RSA"
     assert [one(spark, S.count_text(F.lit(n), "file", "files")) for n in (1, 12345)] == ["1 file", "12,345 files"]
+
+
+def test_varints_come_back(spark):
+    def plain(n):
+        out = bytearray()
+        while n > 127:
+            out.append(n & 127 | 128)
+            n >>= 7
+        return bytes([*out, n])
+
+    ns = [0, 1, 127, 128, 300, 16383, 16384, (1 << 56) - 1, 1 << 56, (1 << 63) - 1, -1, None]
+    rows = spark.createDataFrame([(n,) for n in ns], "n long").select("n", S.varint(F.col("n")).alias("v")).withColumn("back", S.varint_value(F.col("v"))).collect()
+    for r in rows:
+        assert r.back == r.n and (r.v is None if r.n is None else bytes(r.v) == plain(r.n % (1 << 64)))
+    data = [bytearray(b""), bytearray(b"\x80"), bytearray(b"\xff" * 10 + b"\x01"), bytearray(b"\x05\xff\xff"), bytearray(b"\x80\x00"), None]
+    got = spark.createDataFrame([(i, d) for i, d in enumerate(data)], "i int, d binary").select("i", S.varint_value(F.col("d")).alias("n")).collect()
+    assert {r.i: r.n for r in got} == {0: None, 1: None, 2: None, 3: 5, 4: 0, 5: None}
