@@ -147,6 +147,25 @@ def zigzag16(w: Column) -> Column:
     return F.when(v >= 0, 2 * v).otherwise(-2 * v - 1)
 
 
+def _times32(x: Column, factor: int) -> Column:
+    """x * factor modulo 2^32 for 32-bit x, in halves so that no product passes 2^48."""
+    mask = F.lit((1 << 32) - 1)
+    return (((x * (factor >> 16)).bitwiseAND(F.lit(0xFFFF)) * 65536) + x * (factor & 0xFFFF)).bitwiseAND(mask)
+
+
+def avalanche32(x: Column) -> Column:
+    """Mixes a 32-bit number, given as a long: two shifts and multiplications and a last shift."""
+    # Each shift with the factor after it.
+    for shift, factor in ((16, 0x7FEB352D), (15, 0x846CA68B)):
+        x = _times32(x.bitwiseXOR(F.shiftright(x, shift)), factor)
+    return x.bitwiseXOR(F.shiftright(x, 16))
+
+
+def gram_slot(x: Column, bits: int = 20) -> Column:
+    """Slot of four bytes (a 32-bit number, given as a long) in a table of 2^bits."""
+    return F.shiftright(_times32(x, 2654435761), 32 - bits)
+
+
 def radical_inverse(i: Column) -> Column:
     """Van der Corput point in base 2."""
     bits = F.bin(i)

@@ -208,6 +208,13 @@ def search(entries: DataFrame, patterns: str, text: str = "", whole: bool = Fals
     return some.orderBy(*KEY).limit(limit).crossJoin(F.broadcast(some.agg((F.count(F.lit(1)) > limit).alias("truncated"))))
 
 
+def of_kinds(entries: DataFrame, files: bool = True, folders: bool = True, archives: bool = True) -> DataFrame:
+    """Rows of the wanted kinds: folders, archives (files by their name) and files, to which links count."""
+    folder = F.col("kind").isin("dir", "directory")
+    archive = (F.col("kind") == "archive") | (F.col("kind") == "file") & F.coalesce(S.archive_type(F.col("path")).isNotNull(), F.lit(False))
+    return entries.where(F.when(folder, F.lit(folders)).when(archive, F.lit(archives)).otherwise(F.lit(files)))
+
+
 def type_ahead(entries: DataFrame, needle: str) -> DataFrame:
     """The best row of each archive: prefix, then substring, then the next name in order."""
     name = F.lower(S.base_name(F.col("path")))

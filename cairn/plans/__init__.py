@@ -18,4 +18,4 @@ def query(sql: str | None = None):
     return add
 
 
-from cairn.plans import catalog_queries, estimate_queries, stat_queries, tree_queries  # noqa: E402, F401
+from cairn.plans import catalog_queries, estimate_queries, stat_queries, stream_queries, tree_queries  # noqa: E402, F401
