@@ -3,7 +3,8 @@
 A line of l characters is cut into threshold + 1 even segments; a line within the threshold keeps one of
 them, so each line publishes its segments under (length, segment number) and probes the substrings of
 lengths and places where a partner's segment can lie. Shared keys give candidates; counts of
-frequent letters prune them, and a banded bit-parallel edit distance verifies the rest.
+frequent letters prune them, and a banded bit-parallel edit distance verifies the rest. Before that, fewer and
+coarser keys leave out the lines that can have no partner.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ THRESHOLD = 2
 MIN_CHARS = 20
 #: Occurrences from which a line is joined as a hot key.
 HOT_LINE = 1000
+#: Code points by which lengths are grouped for the coarse keys; the choice changes the cost, never the result.
+LENGTHS = 16
 #: Letters whose counts prune candidates before verification; the choice changes the cost, never the result.
 LETTERS = "etaonisrhldcumfpgwbvk"
 
@@ -58,6 +61,32 @@ def probe_keys(line: Column, length: Column, threshold: int) -> Column:
     return F.array(*out)
 
 
+def coarse_groups(length: Column, threshold: int, min_chars: int) -> Column:
+    """The groups of lengths, each named by its smallest length, of a line and of its shortest partner."""
+    width = max(LENGTHS, threshold + 1)
+    own, less = (F.greatest(F.lit(min_chars), n - n % width) for n in (length, length - threshold))
+    return F.when(own == less, F.array(own)).otherwise(F.array(own, less))
+
+
+def coarse_keys(line: Column, length: Column, group: Column, threshold: int) -> Column:
+    """Keys of which two lines within the threshold share one in a group that both have, by the same rule for both.
+
+    The group sets the size of threshold + 1 blocks, the first ones counted from the line's start and the others from its end. One block stays
+    whole with i edits before and at most threshold - i after it, which bounds its shift; it is read at as many more
+    places, and is as much longer, so that whichever line has it further left, both read the same part.
+    """
+    shifts = [min(i, threshold - i) for i in range(threshold + 1)]
+    size = F.greatest(F.lit(0), F.floor((group - sum(shifts)) / (threshold + 1)).cast("int"))
+    out = []
+    for i, more in enumerate(shifts):
+        if 2 * i <= threshold:
+            start = i * size + (1 + sum(shifts[:i]))
+        else:
+            start = length - (threshold + 1 - i) * size + (1 - sum(shifts[i:]))
+        out += [F.xxhash64(F.lit(i), group, line.substr(start + shift, size)) for shift in range(more + 1)]
+    return F.array(*out)
+
+
 def letter_counts(line: Column) -> Column:
     """Counts of frequent letters modulo 8, three bits each, in one long."""
     out = F.lit(0).cast("long")
@@ -136,16 +165,16 @@ def _occurrences(docs: DataFrame, min_chars: int, short_repeats: bool) -> DataFr
     )
 
 
-def near_lines(lines: DataFrame, threshold: int, scratch: Scratch) -> DataFrame:
-    """id of every distinct line (id, line, place) that is within threshold edits of another with an earlier place."""
+def near_lines(lines: DataFrame, threshold: int, min_chars: int, scratch: Scratch) -> DataFrame:
+    """id of every distinct line (id, line, place), of at least min_chars characters each, that is within threshold edits of another with an earlier place."""
     n = F.col("n_line")
     own, seek = segment_keys(F.col("line"), n, threshold), probe_keys(F.col("line"), n, threshold)
     #: the length and the keys are columns of their own, so that each is computed once and not for every key
     measured = lines.select("id", "line", F.length("line").alias("n_line"))
-    #: first the lines that share any key with another, in one shuffle of keys and ids (a line's own keys are
-    #: among its probes); the rest is for these few
+    #: first the lines that share a coarse key with another, in one shuffle of keys and ids; the rest is for these few
     by_key = Window.partitionBy("key")
-    rows = measured.select("id", seek.alias("seek")).select("id", F.explode("seek").alias("key"))
+    rows = measured.select("*", F.explode(coarse_groups(n, threshold, min_chars)).alias("group"))
+    rows = rows.select("id", coarse_keys(F.col("line"), n, F.col("group"), threshold).alias("keys")).select("id", F.explode("keys").alias("key"))
     rows = rows.withColumn("low", F.min("id").over(by_key)).withColumn("high", F.max("id").over(by_key)).where("low < high")
     some = scratch.cut(rows.select("id").distinct())
     keyed = measured.join(small(some, some.count()), "id")
@@ -170,7 +199,7 @@ def dropped_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     #: a hot line collapses in the partial aggregation
     lines = seen.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line"))
     lines = scratch.cut(lines.withColumn("id", F.monotonically_increasing_id()))
-    near = scratch.cut(near_lines(lines.where(F.length("line") >= min_chars), threshold, scratch))
+    near = scratch.cut(near_lines(lines.where(F.length("line") >= min_chars), threshold, min_chars, scratch))
     marked = lines.select("id", "h1", "h2", "place", "n").join(small(near.withColumn("near", F.lit(True)), near.count()), "id", "left")
     marked = marked.withColumn("near", F.coalesce("near", F.lit(False))).where("near or n > 1")
     marked = scratch.cut(marked.select("h1", "h2", F.col("place").alias("first"), "near", "n"))

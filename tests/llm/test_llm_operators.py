@@ -151,6 +151,52 @@ def test_line_dedup_of_short_repeats(spark, tmp_path):
     assert {r.doc_id: r.text for r in got} == want
 
 
+def edited(rng, line, n):
+    """The line after n random edits of one character."""
+    x = list(line)
+    for _ in range(n):
+        at = rng.randint(0, len(x))
+        x[at : at + rng.choice([0, 1])] = rng.choice([[], ["é"], ["z"], ["𝄞"]])
+    return "".join(x)
+
+
+def coarse(name, threshold, min_chars):
+    groups = line_dedup.coarse_groups(F.length(name), threshold, min_chars)
+    return F.flatten(F.transform(groups, lambda g: line_dedup.coarse_keys(F.col(name), F.length(name), g, threshold)))
+
+
+def test_near_lines_share_a_coarse_key(spark):
+    rng = random.Random(13)
+    for threshold, min_chars in itertools.product([0, 1, 2, 3, 20], [0, 5, 20]):
+        rows = []
+        while len(rows) < 300:
+            a = "".join(rng.choice("abcdefghijklmno é") for _ in range(rng.choice([20, 31, 32, 33, 47, 48, 50, rng.randint(0, 80)])))
+            b = edited(rng, a, rng.randint(0, threshold))
+            if min(len(a), len(b)) >= min_chars:
+                rows.append((a, b))
+        df = spark.createDataFrame(rows, "a string, b string")
+        df = df.select("a", "b", F.arrays_overlap(coarse("a", threshold, min_chars), coarse("b", threshold, min_chars)).alias("share"))
+        assert all(r.share for r in df.collect()), (threshold, min_chars)
+
+
+def test_line_dedup_makes_few_rows_of_lines_without_partners(spark):
+    rng, lines = random.Random(14), 2000
+    text = ["\n".join("".join(rng.choice("abcdefghij ") for _ in range(rng.randint(60, 300))) for _ in range(10)) for _ in range(lines // 10)]
+    docs = frame(spark, list(enumerate(text)))
+    store = spark._jsparkSession.sharedState().statusStore()
+    before = store.executionsCount()
+    assert line_dedup.dedup_lines(docs, short_repeats=True).where("n_dropped > 0").count() == 0
+    made = []
+    for k in range(before, store.executionsCount()):
+        run = store.executionsList().apply(k).executionId()
+        values, nodes = store.executionMetrics(run), store.planGraph(run).allNodes()
+        for node in (nodes.apply(i) for i in range(nodes.size())):
+            for m in (node.metrics().apply(i) for i in range(node.metrics().size())):
+                if node.name() == "Generate" and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    made.append(int(values.apply(m.accumulatorId()).replace(",", "")))
+    assert lines <= max(made) <= 6 * lines
+
+
 def test_quality_counts_and_model(spark):
     rng = random.Random(2)
     good = [" ".join(rng.choice(WORDS) for _ in range(40)) for _ in range(60)]
