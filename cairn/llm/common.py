@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 #: Rows up to which a two-column table of longs may be broadcast (16 MB raw); past it the join shuffles.
 BROADCAST_ROWS = 500_000
 
+#: Blocks of 4,096 ids up to which their bits may be broadcast (0.6 kB each); past it the join shuffles.
+BROADCAST_BLOCKS = 65_536
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -95,6 +98,21 @@ def small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+def marked(df: DataFrame, ids: DataFrame, name: str, scratch: Scratch) -> DataFrame:
+    """df with a boolean column of that name: whether its id is in ids (id, distinct). For ids counted up from a few starts, as monotonically_increasing_id gives them.
+
+    The ids are broadcast as one bit each in blocks of 64 words, so that wide rows of df stay where they are.
+    """
+    bits = ids.groupBy(F.expr("shiftright(id, 6)").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(id & 63 as int)))").alias("bits"))
+    found = bits.groupBy(F.expr("shiftright(word, 6)").alias("_block")).agg(F.map_from_entries(F.collect_list(F.expr("struct(cast(word & 63 as int), bits)"))).alias("_bits"))
+    found = scratch.cut(found.select("_block", F.expr("transform(sequence(0, 63), i -> coalesce(_bits[i], 0L))").alias("_bits")))
+    if found.count() > BROADCAST_BLOCKS:
+        return df.join(ids.withColumn("_found", F.lit(True)), "id", "left").select(*df.columns, F.coalesce("_found", F.lit(False)).alias(name))
+    both = df.withColumn("_block", F.expr("shiftright(id, 12)")).join(F.broadcast(found), "_block", "left")
+    hit = F.expr("shiftright(get(_bits, cast(shiftright(id, 6) & 63 as int)), cast(id & 63 as int)) & 1 = 1")
+    return both.select(*df.columns, F.coalesce(hit, F.lit(False)).alias(name))
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) for every id in edges (src, dst); component is the smallest id reachable.
 

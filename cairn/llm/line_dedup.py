@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cairn.llm.common import Scratch, fresh, quote, skew_left_join, small
+from cairn.llm.common import Scratch, fresh, marked, quote, skew_left_join
 
 #: Largest edit distance (code points) between a line and an earlier one that drops it.
 THRESHOLD = 2
@@ -177,15 +177,16 @@ def near_lines(lines: DataFrame, threshold: int, min_chars: int, scratch: Scratc
     rows = rows.select("id", coarse_keys(F.col("line"), n, F.col("group"), threshold).alias("keys")).select("id", F.explode("keys").alias("key"))
     rows = rows.withColumn("low", F.min("id").over(by_key)).withColumn("high", F.max("id").over(by_key)).where("low < high")
     some = scratch.cut(rows.select("id").distinct())
-    keyed = measured.join(small(some, some.count()), "id")
+    keyed = marked(measured, some, "found", scratch).where("found")
     keyed = scratch.cut(keyed.select("id", letter_counts(F.col("line")).alias("letters"), own.alias("own"), seek.alias("seek")))
     index = keyed.select(F.explode("own").alias("key"), F.col("id").alias("a"), F.col("letters").alias("sa"))
     probe = keyed.select(F.explode(F.array_distinct("seek")).alias("key"), F.col("id").alias("b"), F.col("letters").alias("sb"))
     close = letter_distance(F.col("sa"), F.col("sb")) <= 2 * threshold
     pairs = index.join(probe, (index.key == probe.key) & (F.col("a") != F.col("b")) & close)
     pairs = scratch.cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    scratch.free(keyed)
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    texts = scratch.cut(lines.select("id", "line", "place").join(small(ids, 2 * pairs.count()), "id"))
+    texts = scratch.cut(marked(lines.select("id", "line", "place"), ids, "found", scratch).where("found").drop("found"))
     a = texts.select(F.col("id").alias("a"), F.col("line").alias("la"), F.col("place").alias("pa"))
     b = texts.select(F.col("id").alias("b"), F.col("line").alias("lb"), F.col("place").alias("pb"))
     near = pairs.join(a, "a").join(b, "b").where(within_edits(F.col("la"), F.col("lb"), threshold))
@@ -200,10 +201,10 @@ def dropped_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int =
     lines = seen.groupBy("h1", "h2").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n"), F.first("line").alias("line"))
     lines = scratch.cut(lines.withColumn("id", F.monotonically_increasing_id()))
     near = scratch.cut(near_lines(lines.where(F.length("line") >= min_chars), threshold, min_chars, scratch))
-    marked = lines.select("id", "h1", "h2", "place", "n").join(small(near.withColumn("near", F.lit(True)), near.count()), "id", "left")
-    marked = marked.withColumn("near", F.coalesce("near", F.lit(False))).where("near or n > 1")
-    marked = scratch.cut(marked.select("h1", "h2", F.col("place").alias("first"), "near", "n"))
-    here = skew_left_join(seen.select("h1", "h2", "place"), marked, ["h1", "h2"], F.col("n") >= HOT_LINE, ["place"])
+    found = marked(lines.select("id", "h1", "h2", "place", "n"), near, "near", scratch).where("near or n > 1")
+    found = scratch.cut(found.select("h1", "h2", F.col("place").alias("first"), "near", "n"))
+    scratch.free(lines)
+    here = skew_left_join(seen.select("h1", "h2", "place"), found, ["h1", "h2"], F.col("n") >= HOT_LINE, ["place"])
     gone = here.where(F.col("near") | (F.col("first") != F.col("place")))
     return gone.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.text_hash").alias("text_hash")).agg(F.sort_array(F.collect_set("place.line_no")).alias("dropped"))
 

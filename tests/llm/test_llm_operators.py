@@ -12,7 +12,7 @@ import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import bpe, chat, decontaminate, language, line_dedup, ngram_jaccard, quality, queries, token_files, url_filter, warc
+from cairn.llm import bpe, chat, common, decontaminate, language, line_dedup, ngram_jaccard, quality, queries, token_files, url_filter, warc
 
 WORDS = [f"{a}{b}" for a in "bcdfg" for b in "aeiou"]
 DOCS = "doc_id long, text string, lang string, n_lines string, component string"
@@ -197,6 +197,42 @@ def test_line_dedup_makes_few_rows_of_lines_without_partners(spark):
     assert lines <= max(made) <= 6 * lines
 
 
+@pytest.mark.parametrize("blocks", [common.BROADCAST_BLOCKS, 1])
+def test_marked_ids(spark, monkeypatch, blocks):
+    monkeypatch.setattr(common, "BROADCAST_BLOCKS", blocks)
+    rng, scratch = random.Random(15), common.Scratch(spark, "test-marked")
+    ids = [p * 2**33 + k for p in (0, 1, 7, 2**29 - 1) for k in [*range(200), 4095, 4096, *rng.sample(range(200, 20000), 100)]]
+    some = {i for i in ids if rng.random() < 0.4 or i % 4096 == 63}
+    df, chosen = spark.createDataFrame([(i, str(i)) for i in ids], "id long, line string"), spark.createDataFrame([(i,) for i in some], "id long")
+    for few in (chosen, chosen.limit(0)):
+        got = common.marked(df, few, "found", scratch)
+        assert got.columns == ["id", "line", "found"]
+        assert {(r.id, r.line, r.found) for r in got.collect()} == {(i, str(i), few is chosen and i in some) for i in ids}
+
+
+def test_line_dedup_leaves_texts_of_lines_where_they_are(spark, monkeypatch):
+    """However many lines may have a partner: their ids go to the lines, not the lines to their ids."""
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    cut, shuffled = common.Scratch.cut, []
+
+    def seen(self, df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        shuffled.append("letters" in df.columns and "SortMergeJoin" in plan)
+        return cut(self, df)
+
+    monkeypatch.setattr(common.Scratch, "cut", seen)
+    rng = random.Random(16)
+    lines = ["".join(rng.choice("abcdef ") for _ in range(60)) for _ in range(40)]
+    docs = frame(spark, [(i, x) for i, x in enumerate(lines)] + [(100 + i, "z" + x) for i, x in enumerate(lines)])
+    auto = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert line_dedup.dedup_lines(docs).where("n_dropped = 1").count() == 40
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", auto)
+    assert shuffled and not any(shuffled)
+
+
 def test_quality_counts_and_model(spark):
     rng = random.Random(2)
     good = [" ".join(rng.choice(WORDS) for _ in range(40)) for _ in range(60)]
